@@ -6,7 +6,7 @@ them; medians are exact (see quantile.py). No load, however large, is gathered i
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,6 @@ class ColumnSpec:
     pattern: str | None = None
     checked: bool = False  # whether validity is reported
     distinct: bool = True  # whether distinct cells are counted
-    role: str = field(default="")
 
     def valid(self, cell: Column) -> Column:
         """True for a valid cell, false for an invalid one; ``cell`` is stripped, blank cells are null."""
@@ -105,15 +104,15 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
     long = long.withColumn("completeness_pct", F.col("non_empty") * 100.0 / F.col("rows"))
     long = long.withColumn("validity_pct", F.when(F.col("non_empty") > 0, F.col("valid") * 100.0 / F.col("non_empty")))
     if distinct:
-        long = long.join(distinct_cells(df, load, [c.name for c in columns if c.distinct]).withColumnsRenamed({load: "_l", "column_name": "_c"}), F.col(load).eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
+        long = long.join(distinct_cells(df, load, [c.name for c in columns if c.distinct]).drop("cells").withColumnsRenamed({load: "_l", "column_name": "_c"}), F.col(load).eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
     return long
 
 
 def distinct_cells(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
-    """load, column_name, distinct_values (different stripped cells that aren't blank; exact), min_text, max_text."""
+    """load, column_name, cells (not blank), distinct_values (different ones once stripped; exact), min_text, max_text."""
     pair = lambda c: F.struct(F.lit(c).alias("column_name"), clean(F.col(c)).alias("cell"))
-    cells = df.select(load, F.explode(F.array(*[pair(c) for c in columns])).alias("p")).where("p.cell is not null").groupBy(load, "p.column_name", "p.cell").agg(F.lit(1).alias("_one"))
-    return cells.groupBy(load, "column_name").agg(F.count(F.lit(1)).alias("distinct_values"), F.min("cell").alias("min_text"), F.max("cell").alias("max_text"))
+    cells = df.select(load, F.explode(F.array(*[pair(c) for c in columns])).alias("p")).where("p.cell is not null").groupBy(load, "p.column_name", "p.cell").agg(F.count(F.lit(1)).alias("_n"))
+    return cells.groupBy(load, "column_name").agg(F.sum("_n").alias("cells"), F.count(F.lit(1)).alias("distinct_values"), F.min("cell").alias("min_text"), F.max("cell").alias("max_text"))
 
 
 def standardised_shifts(profile: DataFrame, load: str, table: str | None = None) -> DataFrame:

@@ -19,9 +19,16 @@ COLUMNS = {
 FIELDS = ["customer_id", "full_name", "email", "signup_date", "lifetime_value", "active", "notes"]
 
 
-def specs(name: str) -> list[ColumnSpec]:
-    kinds = {"email": ("string", EMAIL, True), "signup_date": ("date", None, False), "lifetime_value": ("float", None, True), "active": ("boolean", None, True)}
-    return [ColumnSpec(c, *kinds.get(f, ("string", None, False)), role=f) for c, f in zip(COLUMNS[name], FIELDS, strict=False)]
+#: What is measured of each field.
+FIELD_SPECS = [
+    ColumnSpec("customer_id"),
+    ColumnSpec("full_name"),
+    ColumnSpec("email", pattern=EMAIL, checked=True),
+    ColumnSpec("signup_date", "date"),
+    ColumnSpec("lifetime_value", "float", checked=True),
+    ColumnSpec("active", "boolean", checked=True),
+    ColumnSpec("notes"),
+]
 
 
 def customers(spark: SparkSession, folder: str, fields: list[str]) -> DataFrame:

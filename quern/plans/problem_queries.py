@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.operators import column_profile as cp
 from quern.operators import feeds
 from quern.operators.instants import normalise_instants
-from quern.plans.customer_tables import COLUMNS, customers, specs
+from quern.plans.customer_tables import COLUMNS, FIELD_SPECS, FIELDS, customers
 from quern.sources.records import parse_files
 from quern.sources.tables import table
 
@@ -24,36 +24,41 @@ BOUNDS = {
 }
 
 
-def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """What is known of every column of every load."""
+NAMES = {(t, f): c for t, columns in COLUMNS.items() for f, c in zip(FIELDS, columns, strict=False)}
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """With each table's own name for a field; the fields that a table doesn't have are left out."""
+    pairs = F.create_map(*[F.lit(x) for (t, f), c in NAMES.items() for x in (f"{t} {f}", c)])
+    own = F.try_element_at(pairs, F.concat_ws(" ", "_load.table_name", "column_name"))
+    fields = [c for c in df.columns if c not in ("_load", "column_name")]
+    return df.select("_load.table_name", "_load.load_id", F.col("column_name").alias("role"), own.alias("column_name"), *fields).where("column_name is not null")
 
-    def one(name: str) -> DataFrame:
-        df, columns = table(spark, folder, name), specs(name)
-        p = cp.profile_columns(df, "load_id", columns)
-        m = cp.number_medians(df, "load_id", [c.name for c in columns if c.kind == "float"]).withColumnsRenamed({"load_id": "_l", "column_name": "_c"})
-        return p.join(m, F.col("load_id").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c").withColumn("table_name", F.lit(name))
 
-    powers = {c: F.col(c).cast("string") for c in ("s1", "s2", "s3", "s4")}
-    return reduce(DataFrame.unionByName, map(one, COLUMNS)).withColumns(powers)
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    """The three tables as one, each load known by its table and id."""
+    tables = [table(spark, folder, t).select(F.struct(F.lit(t).alias("table_name"), "load_id").alias("_load"), *[F.col(NAMES[t, f]).alias(f) if (t, f) in NAMES else F.lit(None).cast("string").alias(f) for f in FIELDS]) for t in COLUMNS]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """What is known of every column of every load."""
+    df = _customers(spark, folder)
+    m = cp.number_medians(df, "_load", ["lifetime_value"]).withColumnsRenamed({"_load": "_l", "column_name": "_c"})
+    p = cp.profile_columns(df, "_load", FIELD_SPECS).join(m, F.col("_load").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
+    return _named(p).drop("role").withColumns({c: F.col(c).cast("string") for c in ("s1", "s2", "s3", "s4")})
 
 
 def p1_shifts(spark: SparkSession, folder: str) -> DataFrame:
     """Standardised difference of each load's numbers from those of the table's other loads."""
-    one = lambda name: cp.profile_columns(table(spark, folder, name), "load_id", [c for c in specs(name) if c.kind == "float"], types=False, distinct=False).withColumn("table_name", F.lit(name))
-    return cp.standardised_shifts(reduce(DataFrame.unionByName, map(one, COLUMNS)), "load_id", "table_name")
+    p = cp.profile_columns(_customers(spark, folder), "_load", [c for c in FIELD_SPECS if c.kind == "float"], types=False, distinct=False)
+    return cp.standardised_shifts(_named(p), "load_id", "table_name")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """load_id, column_name, measure of each departure from the table's other loads or from the recorded profile."""
-    profiles, distincts, medians = [], [], []
-    for name in COLUMNS:
-        df, columns = table(spark, folder, name), specs(name)
-        roles = F.create_map(*[F.lit(x) for c in columns for x in (c.name, c.role)])
-        add = {"table_name": F.lit(name), "role": roles[F.col("column_name")]}
-        profiles.append(cp.profile_columns(df, "load_id", columns, types=False, distinct=False).withColumns(add))
-        distincts.append(cp.distinct_cells(df, "load_id", [c.name for c in columns if c.role in ("email", "signup_date")]).withColumns(add))
-        medians.append(cp.number_medians(df, "load_id", [c.name for c in columns if c.role == "lifetime_value"]).withColumns(add))
-    p = reduce(DataFrame.unionByName, profiles)
+    df = _customers(spark, folder)
+    p = _named(cp.profile_columns(df, "_load", FIELD_SPECS, types=False, distinct=False))
     share = lambda a, b: F.when(b > 0, a.cast("double") / b)
     n = F.col("non_empty")
     rows = p.select("table_name", "load_id", "column_name", F.explode(F.array(
@@ -61,10 +66,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("validity").alias("measure"), share(F.col("valid"), n).alias("x")),
         F.struct(F.lit("distribution").alias("measure"), share(F.col("trues"), F.col("valid")).alias("x")),
     )).alias("m")).select("table_name", "load_id", "column_name", "m.*")
-    counts = p.select("load_id", "column_name", "non_empty").withColumnsRenamed({"load_id": "_l", "column_name": "_c"})
-    different = reduce(DataFrame.unionByName, distincts).join(counts, F.col("load_id").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")))
-    different = different.select("table_name", "load_id", "column_name", F.lit("distinct").alias("measure"), share(F.col("distinct_values"), n).alias("x"))
-    middle = reduce(DataFrame.unionByName, medians).select("table_name", "load_id", "column_name", F.lit("range").alias("measure"), F.col("median").alias("x"))
+    different = _named(cp.distinct_cells(df, "_load", ["email", "signup_date"]))
+    different = different.select("table_name", "load_id", "column_name", F.lit("distinct").alias("measure"), share(F.col("distinct_values"), F.col("cells")).alias("x"))
+    middle = _named(cp.number_medians(df, "_load", ["lifetime_value"])).select("table_name", "load_id", "column_name", F.lit("range").alias("measure"), F.col("median").alias("x"))
     found = cp.departures(rows.unionByName(different).unionByName(middle), "table_name", "load_id", BOUNDS).select("load_id", "column_name", "measure")
     recorded = cp.recorded_differences(p, "load_id", table(spark, folder, "column_profiles")).select("load_id", "column_name", F.lit("recorded").alias("measure"))
     return found.unionByName(recorded)
