@@ -5,9 +5,117 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import garbled
+from quern.functions.coerce import coerce
+from quern.functions.text import clean, strip
+from quern.llm import canonical, garbled, golden, mixing, names
+from quern.llm.tokenize import encode_texts
+from quern.operators.column_profile import EMAIL
+from quern.plans.customer_tables import customers
 from quern.sources.tables import table
 
+# ---- 2: best representative
+
+
+def _claims(spark: SparkSession, folder: str) -> DataFrame:
+    """customer_id, field_name, rec_id, value, valid, trust_rank, updated_at, site_code: one row for each record and field."""
+    sites = table(spark, folder, "sites").groupBy("site_code").agg(F.min("trust_rank").alias("trust_rank"))
+    rows = customers(spark, folder, ["customer_id", "email", "lifetime_value"]).withColumn("customer_id", F.upper(strip(F.col("customer_id")))).where("customer_id <> ''")
+    email, value = clean(F.col("email")), coerce(F.col("lifetime_value"), "float")
+    fields = F.array(
+        F.struct(F.lit("email").alias("field_name"), F.lower(email).alias("value"), F.coalesce(email.rlike(rf"(?Ud)\A(?:{EMAIL})\z"), F.lit(False)).alias("valid")),
+        F.struct(F.lit("lifetime_value").alias("field_name"), value.cast("string").alias("value"), F.coalesce(value >= 0, F.lit(False)).alias("valid")),
+    )
+    return rows.join(sites, "site_code", "left").select("customer_id", "rec_id", "site_code", "trust_rank", "updated_at", F.explode(fields).alias("f")).select("*", "f.*").drop("f")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """customer_id, field_name, rec_id: the record whose value survives, in the stated order of preference."""
+    last = F.lit(2**63 - 1)
+    order = [F.coalesce("trust_rank", last), F.coalesce(-F.unix_micros(F.to_utc_timestamp(F.col("updated_at").cast("timestamp"), F.current_timezone())), last)]
+    return golden.survivors(_claims(spark, folder), "customer_id", "field_name", order, "rec_id")
+
+
+def _fused(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sites = [r.site_code for r in table(spark, folder, "sites").select("site_code").distinct().limit(65).collect() if r.site_code]
+    return golden.fuse_values(_claims(spark, folder).where("valid"), ["customer_id", "field_name"], "value", "site_code", sites)
+
+
+def p2_fused(spark: SparkSession, folder: str) -> DataFrame:
+    """customer_id, field_name, value, posterior, votes: the value of the largest posterior, copied votes discounted."""
+    return golden.best_values(_fused(spark, folder)[0], ["customer_id", "field_name"], "value")
+
+
+def p2_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """source, accuracy, most_copying: what the fusion has learnt of each site."""
+    return _fused(spark, folder)[1]
+
+
+# ---- 4: canonical values
+
+
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    entries = canonical.reference_entries(table(spark, folder, "canonical_fields"))
+    return canonical.map_values(table(spark, folder, "source_headings"), "source_column", entries)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """heading_id, field_id of each non-blank heading; -1 where none is meant."""
+    return _mapped(spark, folder).where("entry is not null").select("heading_id", F.col("entry").alias("field_id"))
+
+
+def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """source_column, headings: the values that mean no entry, with how often each stands."""
+    return _mapped(spark, folder).where("entry = -1").groupBy("source_column").agg(F.count(F.lit(1)).alias("headings"))
+
+
+# ---- 6: names
+
+
+def _parties(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_parties(customers(spark, folder, ["customer_id", "full_name"]), "customer_id", "full_name", "district")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """customer_id_a, customer_id_b: pairs of ids of one district that mean the same party."""
+    return names.party_pairs(_parties(spark, folder))
+
+
+def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
+    """district, id, party: each linked id with the smallest id of its party."""
+    return _parties(spark, folder)
+
+
+# ---- 8: tokens
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and ids of each document by byte_bpe_50k."""
+    return encode_texts(table(spark, folder, "documents"), "text", ["doc_id"])
+
+
+# ---- 9: mixing
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, list[mixing.Plan]]:
+    from quern.session import cut_lineage
+
+    sized = cut_lineage(encode_texts(table(spark, folder, "documents"), "text", ["doc_id", "source"], count_only=True))
+    plans = mixing.plan_mix(mixing.source_totals(sized, "source", "n_tokens"), mixing.weights_of(table(spark, folder, "source_weights")))
+    return mixing.round_copies(sized, plans, "doc_id", "source", "n_tokens"), plans
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source, n_tokens, copies: how often each document of a weighted source is taken."""
+    return _mix(spark, folder)[0].select(F.col("key").cast("bigint").alias("doc_id"), "source", "n_tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares wanted and reached by source."""
+    return mixing.shares_reached(*_mix(spark, folder))
+
+
+# ---- 10: garbled text
+
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id of each document that holds garbled text."""
@@ -19,5 +127,8 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.restore_texts(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_fused, p2_sources, p4_found, p4_unmatched, p6_found, p6_parties, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)
+}
 SQL: dict[str, str] = {}
