@@ -46,3 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     written out in full wherever it is named.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pinned(value: Column) -> Column:
+    """``value``, in a projection that the planner neither merges with others nor pushes filters through.
+
+    For columns that are costly and named often above: a filter pushed below them would hold their expressions once more for each
+    mention, and these those of the columns below, until the plan no longer compiles.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)

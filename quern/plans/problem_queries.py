@@ -139,4 +139,33 @@ QUERIES = {
     "p7_found": p7_found,
 }
 
-SQL: dict[str, str] = {}
+
+# ---- the same in SQL, where SQL can express it
+
+_BLANK_FREE = "nullif(trim({c}, ' ' || chr(9) || chr(10) || chr(13)), '')"
+_NUMBER = "case when regexp_full_match({x}, '[+-]?\\d{{1,3}}(,\\d{{3}})+(\\.\\d+)?') then try_cast(replace({x}, ',', '') as double) when regexp_full_match({x}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') then try_cast({x} as double) end"
+_TRUTH = "case when lower({x}) in ('true', 't', 'yes', 'y', '1') then true when lower({x}) in ('false', 'f', 'no', 'n', '0') then false end"
+_MAIL = "regexp_full_match({x}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"
+
+
+def _cells() -> str:
+    """Every cell of the three tables: table_name, load_id, column_name, role, x (null if blank)."""
+    parts = [f"select '{t}' as table_name, load_id, '{c}' as column_name, '{f}' as role, {_BLANK_FREE.format(c=c)} as x from {t}" for (t, f), c in NAMES.items()]
+    return " union all ".join(parts)
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+with cells as ({_cells()}), v as (select *, case role when 'email' then {_MAIL.format(x="x")} when 'lifetime_value' then {_NUMBER.format(x="x")} is not null when 'active' then {_TRUTH.format(x="x")} is not null end as ok,
+  case role when 'lifetime_value' then {_NUMBER.format(x="x")} end as number, case role when 'active' then {_TRUTH.format(x="x")} end as truth from cells),
+p as (select table_name, load_id, column_name, role, count(*) as rows, count(x) as filled, count(*) filter (ok) as valid, count(*) filter (truth) as trues, median(number) as middle, count(distinct x) as different from v group by all),
+m as (select table_name, load_id, column_name, 'completeness' as measure, filled / rows as value from p where role not in ('customer_id', 'full_name')
+  union all select table_name, load_id, column_name, 'validity', valid / filled from p where role in ('email', 'lifetime_value', 'active') and filled > 0
+  union all select table_name, load_id, column_name, 'distribution', trues / valid from p where role = 'active' and valid > 0
+  union all select table_name, load_id, column_name, 'range', middle from p where role = 'lifetime_value'
+  union all select table_name, load_id, column_name, 'distinct', different / filled from p where role in ('email', 'signup_date') and filled > 0),
+c as (select *, median(value) over (partition by table_name, column_name, measure) as mid from m where value is not null),
+r as (select load_id, column_name, arg_max(non_empty, (coalesce(profiled_at, timestamp '0001-01-01'), non_empty)) as non_empty from column_profiles where non_empty is not null group by all)
+select load_id, column_name, measure from c where case measure when 'range' then value > 4 * mid or value < 0.25 * mid when 'distinct' then value < 0.65 * mid else abs(value - mid) > 0.20 end
+union all select p.load_id, p.column_name, 'recorded' from p join r on p.load_id = r.load_id and p.column_name = r.column_name where p.filled <> r.non_empty""",
+}
