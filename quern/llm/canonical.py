@@ -133,8 +133,15 @@ def _trie(entries: tuple[tuple[int, tuple[str, ...]], ...]) -> Trie:
 
 def _map_batches(batches: Iterator[pa.RecordBatch], entries: tuple) -> Iterator[pa.RecordBatch]:
     trie = _trie(entries)
+    known: dict[tuple[str, ...], list[tuple[int, int, int]]] = {}  # of this batch's readings only
     for batch in batches:
-        found = [matches(trie, v) for v in batch.column(0).to_pylist()]
+        known.clear()
+        found = []
+        for v in batch.column(0).to_pylist():
+            key = tuple(readings(v))
+            if key not in known:
+                known[key] = matches(trie, v)
+            found.append(known[key])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([m[0][2] if m else -1 for m in found], pa.int64()), pa.array([m[0][0] if m else None for m in found], pa.int32()), pa.array([[x[2] for x in m] for m in found], pa.list_(pa.int64()))],
             names=["_value", "entry", "distance", "candidates"],
@@ -152,7 +159,9 @@ def map_values(df: DataFrame, value: str, entries: dict[int, list[str]], most_en
         raise ValueError(f"more than {most_entries} labels: too many for each task to hold")
     frozen = tuple((e, tuple(labels)) for e, labels in sorted(entries.items()))
     v = F.col(value)
-    distinct = df.where(v.rlike(r"\S")).select(v.alias("_value")).distinct()
+    # Looking up is far dearer than moving a value, so the values are spread evenly rather than by the size of their text.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), df.sparkSession.sparkContext.defaultParallelism)
+    distinct = df.where(v.rlike(r"\S")).select(v.alias("_value")).distinct().repartition(tasks)
     schema = T.StructType([T.StructField("_value", T.StringType()), T.StructField("entry", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("candidates", T.ArrayType(T.LongType()))])
     found = distinct.mapInArrow(lambda it: _map_batches(it, frozen), schema)
     return df.join(found, v == F.col("_value"), "left").drop("_value")

@@ -131,4 +131,18 @@ QUERIES = {
     f.__name__: f
     for f in (p2_found, p2_fused, p2_sources, p4_found, p4_unmatched, p6_found, p6_parties, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)
 }
-SQL: dict[str, str] = {}
+
+_TRIM = "nullif(trim({c}, ' ' || chr(9) || chr(10) || chr(13)), '')"
+_RECORDS = " union all ".join(
+    f"select rec_id, upper({_TRIM.format(c=i)}) as id, {_TRIM.format(c=e)} as email, {_TRIM.format(c=v)} as v, site_code, updated_at from {t}"
+    for t, i, e, v in (("customers_north", "customer_id", "email", "lifetime_value"), ("clients_south", "client_id", "e_mail", "total_spend"), ("customers_east", "cust_id", "e_mail", "ltv"))
+)
+SQL: dict[str, str] = {
+    "p2_found": f"""
+with r as ({_RECORDS}), n as (select id from r where id is not null group by id having count(*) >= 2),
+f as (select id, 'email' as field_name, rec_id, site_code, updated_at from r where regexp_full_match(email, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')
+  union all select id, 'lifetime_value', rec_id, site_code, updated_at from (select *, case when regexp_full_match(v, '[+-]?\\d{{1,3}}(,\\d{{3}})+(\\.\\d+)?') then try_cast(replace(v, ',', '') as double)
+    when regexp_full_match(v, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') then try_cast(v as double) end as x from r) where x >= 0),
+o as (select f.*, row_number() over (partition by f.id, field_name order by trust_rank nulls last, updated_at desc nulls last, rec_id) as k from f join n using (id) left join sites using (site_code))
+select id as customer_id, field_name, rec_id from o where k = 1""",
+}
