@@ -61,8 +61,11 @@ def violations(config: Config) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{_VIOLATION}>")
 
 
-def coerced(config: Config, headings: dict[str, str]) -> tuple[list[Column], Column]:
-    """Typed columns of a raw frame, and the array of its cells that don't read. ``headings``: source column by field."""
+def coerced(config: Config, headings: dict[str, str], pin: bool = True) -> tuple[list[Column], Column]:
+    """Typed columns of a raw frame, and the array of its cells that don't read. ``headings``: source column by field.
+
+    ``pin``: keep the planner from pushing filters through them (see text.pinned); streams allow no such columns.
+    """
     columns, found = [], []
     for spec in config.fields:
         source = headings.get(spec.name)
@@ -73,7 +76,8 @@ def coerced(config: Config, headings: dict[str, str]) -> tuple[list[Column], Col
         columns.append(coerce(c, spec.type).alias(spec.name))
         if spec.type != "string":
             found.append(violation(failed(c, spec.type), source, c, "coercion", "error", f"cannot coerce to {spec.type} for field '{spec.name}'"))
-    return columns, pinned(F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{_VIOLATION}>"))
+    array = F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{_VIOLATION}>")
+    return columns, pinned(array) if pin else array
 
 
 def blocked(array: Column) -> Column:
@@ -81,12 +85,12 @@ def blocked(array: Column) -> Column:
     return F.exists(array, lambda v: v["severity"] == "error")
 
 
-def validate(frame: DataFrame, config: Config) -> DataFrame:
+def validate(frame: DataFrame, config: Config, pin: bool = True) -> DataFrame:
     """``frame`` with _v: what is wrong with each row. Rows whose _v already holds an error aren't validated again."""
     rules = violations(config)
     if "_v" in frame.columns:
         rules = F.when(blocked(F.col("_v")), F.col("_v")).otherwise(F.concat("_v", rules))
-    return frame.withColumn("_v", pinned(rules))
+    return frame.withColumn("_v", pinned(rules) if pin else rules)
 
 
 def records(frame: DataFrame, array: str = "_v") -> DataFrame:
