@@ -89,8 +89,7 @@ def _believable(text: str, a: int, b: int, restored: str, encoding: str) -> bool
             return encoding == "cp1251" and (len(restored) > 1 or span[1] not in "Ёё")
         # A capital before a closing sign, as in «РФ», is how real text comes to hold a sequence of two.
         if len(restored) == 1 and len(span) == 2 and span[0].isalpha() and span[1] in "»”“’…–—•°§©®™€·":
-            before = text[a - 1 : a]
-            return bool(before) and before.isalpha() and before.isascii()
+            return any(c.isalpha() and c.isascii() for c in text[max(0, a - 1) : a] + text[b : b + 1])
     return True
 
 

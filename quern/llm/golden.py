@@ -89,6 +89,10 @@ def fuse_values(claims: DataFrame, item: list[str], value: str, source: str, sou
     # In how many items two sources both claim something; a set of at most 64 sources for each item.
     met = votes.select(*item, F.explode("sources").alias("s")).groupBy(*item).agg(F.array_sort(F.collect_set("s")).alias("all"))
     together = {(r.a, r.b): r.n for r in met.select(F.explode(_pairs_of(F.col("all"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Before anything is known of truth, sources that agree far more often than their accuracy explains are taken to copy; else a source
+    # and its copies would outvote the others in the first round and be believed ever after.
+    agreed = {(r.a, r.b): r.n for r in votes.select(F.explode(_pairs_of(F.col("sources"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()} if rounds else {}
+    copied = {k: _copying(n, 0, max(0, together.get(k, 0) - n), FIRST_ACCURACY, FIRST_ACCURACY) for k, n in agreed.items()}
     for _ in range(rounds):
         post = scored()
         by_source = post.select(F.explode("sources").alias("s"), "posterior").groupBy("s").agg(F.avg("posterior").alias("a")).collect()  # at most 64 rows
