@@ -144,7 +144,8 @@ _ODD = re.compile(
     "|(?<=[\u0430-\u044f])[\u0410-\u042f]"
     f"|[{_KNOWN}\xd7\xf7]{{4,}}"
     "|[\u0402\u0403\u0409\u040a\u040b\u040c\u040e\u040f\u0452\u0453\u0459-\u045f\u0405\u0408\u0455\u0458]"
-    "|[\xec\xf2\xcc\xd2](?=[A-Za-z_])"
+    "|[\xec\xf2\xcc\xd2](?=[A-Za-z_0-9])"
+    "|(?<=[a-z])[\xb3\xb9]+(?=[a-z])|(?<=[a-z]{3})[\xb3\xb9](?![\\w\xb2\xb3])"
     "|\xc4(?=[0-9])"
     f"|(?<![\\w’'])[ñíìîêëûÛïõãåßþðýÿø](?!\\w)"
     f"|(?<=[a-z])[\u0410-\u044f](?=[a-z])"
