@@ -148,6 +148,24 @@ _TRUTH = "case when lower({x}) in ('true', 't', 'yes', 'y', '1') then true when
 _MAIL = "regexp_full_match({x}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"
 
 
+# Cells of a record whose quoting is whole: cut at the commas outside quotes, then unquoted.
+_WHOLE = r"""regexp_full_match(raw_line, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*', 's')"""
+_CUT = r"""[case when starts_with(c, '"') then replace(c[2:-2], '""', '"') else c end for c in regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1)]"""
+_MEANS = "case " + " ".join(f"when k in ({', '.join(repr(n) for n in names)}) then '{f}'" for f, names in feeds.ALIASES.items()) + " else k end"
+_MOMENT = "coalesce(" + ", ".join(
+    f"case when regexp_full_match({{x}}, '{p}') then try_strptime({{x}}, '{f}') end"
+    for p, f in [
+        ("\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}", "%Y-%m-%d"), ("\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}", "%d/%m/%Y"), ("\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}", "%m/%d/%Y"), ("\\d{{1,2}}-\\d{{1,2}}-\\d{{4}}", "%d-%m-%Y"),
+        ("\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}", "%Y/%m/%d"), ("\\d{{1,2}} [A-Za-z]{{3}} \\d{{4}}", "%d %b %Y"), ("\\d{{1,2}} [A-Za-z]+ \\d{{4}}", "%d %B %Y"),
+        ("\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}T\\d{{1,2}}:\\d{{1,2}}:\\d{{1,2}}", "%Y-%m-%dT%H:%M:%S"), ("\\d{{4}}-\\d{{1,2}}-\\d{{1,2}} \\d{{1,2}}:\\d{{1,2}}:\\d{{1,2}}", "%Y-%m-%d %H:%M:%S"), ("\\d{{1,2}}/\\d{{1,2}}/\\d{{4}} \\d{{1,2}}:\\d{{1,2}}", "%d/%m/%Y %H:%M"),
+    ]
+) + ")"
+#: f: each file's headings; q: each record below them with its cells; x: each cell with its heading, meaning and stripped text.
+_LINES = f"""f as (select file_name, {_CUT} as heads from raw_lines where line_no = 1),
+q as (select r.file_name, line_no, heads, {_WHOLE} as whole, {_CUT} as cells from raw_lines r join f using (file_name) where line_no > 1 and trim(raw_line) <> ''),
+x as (select file_name, line_no, position, heads[position] as heading, {_MEANS} as field, nullif(trim(cells[position]), '') as x from (select *, unnest(range(1, len(heads) + 1)) as position, regexp_replace(lower(heads[position]), '[^a-z0-9]+', '', 'g') as k from q where whole and len(cells) = len(heads)))"""
+
+
 def _cells() -> str:
     """Every cell of the three tables: table_name, load_id, column_name, role, x (null if blank)."""
     parts = [f"select '{t}' as table_name, load_id, '{c}' as column_name, '{f}' as role, {_BLANK_FREE.format(c=c)} as x from {t}" for (t, f), c in NAMES.items()]
@@ -168,4 +186,22 @@ c as (select *, median(value) over (partition by table_name, column_name, measur
 r as (select load_id, column_name, arg_max(non_empty, (coalesce(profiled_at, timestamp '0001-01-01'), non_empty)) as non_empty from column_profiles where non_empty is not null group by all)
 select load_id, column_name, measure from c where case measure when 'range' then value > 4 * mid or value < 0.25 * mid when 'distinct' then value < 0.65 * mid else abs(value - mid) > 0.20 end
 union all select p.load_id, p.column_name, 'recorded' from p join r on p.load_id = r.load_id and p.column_name = r.column_name where p.filled <> r.non_empty""",
+    "p3_found": f"""
+with {_LINES}
+select file_name, line_no, 'quoting' as reason from q where not whole
+union all select file_name, line_no, 'field_count' from q where whole and len(cells) <> len(heads)
+union all select distinct file_name, line_no, case field when 'signup_date' then 'date' when 'active' then 'boolean' else 'number' end from x where x is not null and case field
+  when 'lifetime_value' then {_NUMBER.format(x="x")} is null when 'row' then not regexp_full_match(x, '[0-9]+') when 'signup_date' then {_MOMENT.format(x="x")} is null when 'active' then {_TRUTH.format(x="x")} is null else false end""",
+    "p5_found": f"""
+with {_LINES}, t as (select file_name, position, case when regexp_full_match(x, '[+-]?[0-9]+') then 1 when {_NUMBER.format(x="x")} is not null then 2 when {_TRUTH.format(x="x")} is not null then 3
+  when {_MOMENT.format(x="x")} is not null then case when x like '%:%' then 5 else 4 end else 6 end as type, count(*) as n from x where x is not null group by all),
+m as (select file_name, position, arg_max(type, (n, -type)) as type from t group by all),
+s as (select file_name, feed_code, row_number() over (partition by feed_code order by file_month nulls first, file_name) as seq from raw_files where regexp_matches(feed_code, '^(nth|sth|est)-')),
+h as (select file_name, position, heads[position] as heading, {_MEANS} as field from (select *, unnest(range(1, len(heads) + 1)) as position, regexp_replace(lower(heads[position]), '[^a-z0-9]+', '', 'g') as k from f)),
+c as (select feed_code, seq, file_name, heading, field, type from h join s using (file_name) left join m using (file_name, position)),
+p as (select now.*, old.heading as old_heading, old.type as old_type from c now left join c old on now.feed_code = old.feed_code and now.field = old.field and old.seq = now.seq - 1)
+select file_name, 'added' as change, heading from p where old_heading is null and seq > 1
+union all select file_name, 'renamed', heading from p where old_heading <> heading
+union all select file_name, 'type_changed', heading from p where old_type <> type
+union all select s.file_name, 'removed', old.heading from c old join s on s.feed_code = old.feed_code and s.seq = old.seq + 1 where not exists (select 1 from c now where now.feed_code = old.feed_code and now.seq = old.seq + 1 and now.field = old.field)""",
 }
