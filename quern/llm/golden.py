@@ -26,11 +26,12 @@ def survivors(claims: DataFrame, entity: str, field: str, order: list[Column], r
     """entity, field, record: for each entity of ``least_records`` records or more and each field the record that comes first.
 
     ``claims``: entity, field, record, valid (Boolean), one row for each record and field. Only valid claims count; a field without any
-    has no row. ``order``: columns that sort the preferred record first (nulls last must be expressed in them). It is one aggregation that
-    combines before the shuffle, so an entity with a third of all rows is a row of a few bytes for each task.
+    has no row. ``order``: columns of which the preferred record has the largest, the first counting most; a null is below everything. Records
+    that are equal in all of them are decided by the larger ``record``, so let the order end in what tells records apart. It is one
+    aggregation that combines before the shuffle, so an entity with a third of all rows is a row of a few bytes for each task.
     """
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(record).alias("_record"))
-    best = claims.groupBy(entity, field).agg(F.min(F.when(F.col("valid"), key)).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    best = claims.groupBy(entity, field).agg(F.max(F.when(F.col("valid"), key)).alias("_best"), F.count(F.lit(1)).alias("_n"))
     return best.where((F.col("_n") >= least_records) & F.col("_best").isNotNull()).select(entity, field, F.col("_best._record").alias(record))
 
 

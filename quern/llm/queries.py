@@ -30,8 +30,7 @@ def _claims(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """customer_id, field_name, rec_id: the record whose value survives, in the stated order of preference."""
-    last = F.lit(2**63 - 1)
-    order = [F.coalesce("trust_rank", last), F.coalesce(-F.unix_micros(F.to_utc_timestamp(F.col("updated_at").cast("timestamp"), F.current_timezone())), last)]
+    order = [-F.col("trust_rank"), F.col("updated_at"), -F.col("rec_id")]
     return golden.survivors(_claims(spark, folder), "customer_id", "field_name", order, "rec_id")
 
 

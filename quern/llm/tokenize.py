@@ -35,10 +35,8 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
     return str(public_tokenizers.path(name))
 
 
-def _pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
+# Fixed value: the pattern by which the byte-level tokenizers cut a text into pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Merges:
@@ -242,7 +240,7 @@ class Decoder:
 @lru_cache(maxsize=4)
 def transducer(file: str) -> Transducer:
     """One for each worker and vocabulary."""
-    return Transducer(Merges.load(file), _pattern())
+    return Transducer(Merges.load(file), PATTERN)
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], file: str, count_only: bool) -> Iterator[pa.RecordBatch]:

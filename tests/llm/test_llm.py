@@ -28,7 +28,7 @@ def test_query(spark, duck, name):
 def test_survivors(spark):
     claims = [("A", "f", 1, True, 2), ("A", "f", 2, True, 1), ("A", "f", 3, False, 0), ("B", "f", 4, True, 1), ("C", "f", 5, False, 1), ("C", "f", 6, False, 1), ("D", "f", 7, True, None), ("D", "f", 8, True, None)]
     df = spark.createDataFrame(claims, "id string, field string, rec long, valid boolean, trust int")
-    order = [F.coalesce("trust", F.lit(99))]
+    order = [-F.col("trust"), -F.col("rec")]
     got = [tuple(r) for r in golden.survivors(df, "id", "field", order, "rec").orderBy("id").collect()]
     assert got == [("A", "f", 2), ("D", "f", 7)]
     assert golden.survivors(df.limit(0), "id", "field", order, "rec").count() == 0
