@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 CHUNK = 20_000
 #: Residuals that meet at one node of the tree, about.
 FAN_IN = 1_000
+#: Records of a source that may change after rounding, to bring its size to what is wanted.
+SETTLE = 5
 
 
 @dataclass(frozen=True)
@@ -153,6 +155,43 @@ def round_copies(records: DataFrame, plans: list[Plan], key: str, source: str, s
     return rounded.select("key", "source", "n_tokens", (F.col("p") + lookup(lambda p: math.floor(p.copies + 1e-12))).cast("int").alias("copies"))
 
 
+def settle(rounded: DataFrame, plans: list[Plan], key: str = "key", rounds: int = SETTLE) -> DataFrame:
+    """``rounded`` with a few records' copies raised or lowered by one, so that each source's size comes nearer to what was wanted.
+
+    Rounding keeps a source's number of copies; where sizes differ much, its size may still be off by about its largest record. In each
+    round every source gives up or takes one copy of the record whose size is nearest to what it has too much or too little, if that helps.
+    A record stays within the whole numbers next to its fractional copies, so no cap is passed. Each round is one aggregation; at most
+    ``rounds`` records of a source change, whatever its size.
+    """
+    wanted = {p.source: p.copies * p.tokens for p in plans if p.copies > 0}
+    floors = {p.source: math.floor(p.copies + 1e-12) for p in plans if p.copies > 0}
+    fractional = {p.source: p.copies - floors[p.source] > 1e-12 for p in plans if p.copies > 0}
+    if not wanted:
+        return rounded
+    lookup = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("source"))
+    got = {r.source: int(r.n or 0) for r in rounded.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()}
+    off = {s: float(got.get(s, 0) - wanted[s]) for s in wanted}
+    changed: dict[str, int] = {}
+    for _ in range(rounds):
+        open_ones = {s: d for s, d in off.items() if fractional[s] and abs(d) >= 1}
+        if not open_ones:
+            break
+        d, floor = lookup(open_ones), lookup({s: floors[s] for s in open_ones})
+        can = F.col("source").isin(list(open_ones)) & F.when(d > 0, F.col("copies") > floor).otherwise(F.col("copies") == floor) & ~F.col(key).isin(list(changed)) & (F.col("n_tokens") > 0) & (F.col("n_tokens") < 2 * F.abs(d))
+        near = F.struct(F.abs(F.col("n_tokens") - F.abs(d)).alias("d"), F.col(key).alias("key"), F.col("n_tokens").alias("n"))
+        found = rounded.where(can).groupBy("source").agg(F.min(near).alias("best")).collect()  # one row a source
+        for r in found:
+            step = -1 if off[r.source] > 0 else 1
+            changed[r.best.key] = step
+            off[r.source] += step * r.best.n
+        if not found:
+            break
+    if not changed:
+        return rounded
+    steps = F.create_map(*[F.lit(x) for pair in changed.items() for x in pair])
+    return rounded.withColumn("copies", (F.col("copies") + F.coalesce(F.try_element_at(steps, F.col(key)), F.lit(0))).cast("int"))
+
+
 def source_totals(records: DataFrame, source: str, size: str, most_sources: int = 10_000) -> dict[str, tuple[int, int]]:
     """Records and size by source; a list of bounded length, or an error."""
     rows = records.where(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)), F.sum(size)).limit(most_sources + 1).collect()

@@ -100,7 +100,8 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, list[mixing.Plan]
 
     sized = cut_lineage(encode_texts(table(spark, folder, "documents"), "text", ["doc_id", "source"], count_only=True))
     plans = mixing.plan_mix(mixing.source_totals(sized, "source", "n_tokens"), mixing.weights_of(table(spark, folder, "source_weights")))
-    return mixing.round_copies(sized, plans, "doc_id", "source", "n_tokens"), plans
+    rounded = cut_lineage(mixing.round_copies(sized, plans, "doc_id", "source", "n_tokens"))
+    return mixing.settle(rounded, plans), plans
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -266,6 +266,20 @@ def test_mix(spark, monkeypatch):
     assert mixing.round_copies(df.limit(0), plans, "doc", "src", "n").count() == 0
 
 
+def test_settle(spark):
+    """A source with a few huge records comes near its share, and no record leaves the numbers next to its fraction."""
+    rng = random.Random(11)
+    rows = [(i, "s", rng.choice([10, 20, 30, 40_000 if i % 40 == 0 else 50])) for i in range(400)] + [(1000 + i, "t", 100) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc long, src string, n long")
+    plans = mixing.plan_mix(mixing.source_totals(df, "src", "n"), {"s": (0.4, 1), "t": (0.6, 3)})
+    r = mixing.round_copies(df, plans, "doc", "src", "n").persist()
+    done = mixing.settle(r, plans)
+    far = lambda x: {y.source: abs(y.actual_share - y.wanted_share) for y in mixing.shares_reached(x, plans).collect()}
+    assert far(done)["s"] <= far(r)["s"] and far(done)["s"] < 0.02
+    c = {p.source: p.copies for p in plans}
+    assert all(abs(x.copies - c[x.source]) < 1 for x in done.collect())
+
+
 # ---- 10: garbled text
 
 CLEAN = ["Die Lieferung für Müller war überfällig – „später“.", "L’été était à l’heure, déjà vérifié.", "Ключ пропущен в последних строках, вероятно.", "Zażółć gęślą jaźń, wagę sprawdził.", "¿Por qué el año está en otra columna?", "“Quoted” — it’s 5 € only… café"]
