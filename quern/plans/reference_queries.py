@@ -183,7 +183,7 @@ def rule_cross_field(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- reconciliation: order lines, whose key of order and number often repeats
 
-_LINES = """select 'part_' || (l_suppkey % 4) || '.csv' as _source_file, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as _row,
+_LINES = """select 'part_' || (l_suppkey % 4) || '.csv' as _source_file, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as _row,
  l_orderkey as k, l_linenumber::bigint as line, {quantity} as quantity, {flag} as flag from lineitem"""
 _FIRM = _LINES.format(quantity="l_quantity", flag="l_returnflag")
 _LOOSE = _LINES.format(quantity="case when l_partkey % 2 = 0 then cast(l_orderkey % 9 as double) end", flag="case when l_suppkey % 3 = 0 then 'Z' end")
@@ -194,11 +194,11 @@ def lines_config(strategy: dict | None = None) -> Config:
 
 
 def lines(spark: SparkSession, folder: str, loose: bool = False) -> DataFrame:
-    """Rows numbered by a total order, as a reader would number them; every tie is between equal rows."""
+    """Rows numbered within their order, in a total order; every tie is between equal rows."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    t = table(spark, folder, "lineitem").withColumn("_row", F.row_number().over(w).cast("bigint"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    t = table(spark, folder, "lineitem").withColumn("_row", F.col("l_orderkey") * 1000 + F.row_number().over(w))
     quantity, flag = ("case when l_partkey % 2 = 0 then cast(l_orderkey % 9 as double) end", "case when l_suppkey % 3 = 0 then 'Z' end") if loose else ("l_quantity", "l_returnflag")
     return t.selectExpr("concat('part_', l_suppkey % 4, '.csv') as _source_file", "_row", "l_orderkey as k", "cast(l_linenumber as bigint) as line", f"{quantity} as quantity", f"{flag} as flag", "_row as _ord")
 
