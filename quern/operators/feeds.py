@@ -81,16 +81,10 @@ def drift_type(cell: Column) -> Column:
     """integer (digits, also 0 and 1), float, boolean, date, datetime or string; null for a blank cell."""
 
     def of(x: Column) -> Column:
-        midnight_free = coerce(x, "datetime")
-        return (
-            F.when(x.isNull(), None)
-            .when(x.rlike(r"^[+-]?\d+$"), "integer")
-            .when(coerce(x, "float").isNotNull(), "float")
-            .when(coerce(x, "boolean").isNotNull(), "boolean")
-            .when(~x.contains(":") & midnight_free.isNotNull(), "date")
-            .when(midnight_free.isNotNull(), "datetime")
-            .otherwise("string")
-        )
+        dated = let(coerce(x, "datetime"), lambda t: F.when(t.isNull(), "string").when(x.contains(":"), "datetime").otherwise("date"))
+        # Every number and date begins with a digit, a sign or a point, so most text is told by its first letter.
+        numeric = F.when(x.rlike(r"^[+-]?\d+$"), "integer").when(coerce(x, "float").isNotNull(), "float").otherwise(dated)
+        return F.when(x.isNull(), None).when(x.rlike(r"^[0-9+.-]"), numeric).when(coerce(x, "boolean").isNotNull(), "boolean").otherwise("string")
 
     return let(clean(cell), of)
 
