@@ -97,11 +97,11 @@ def _datetime(x: Column) -> Column:
 _READERS = {"string": lambda x: x, "integer": _integer, "float": _float, "boolean": _boolean, "date": _date, "datetime": _datetime}
 
 
-def coerce(c: Column, kind: str) -> Column:
-    """The cell as ``kind``, one of TYPES; null where it is blank or doesn't read."""
+def coerce(c: Column, kind: str, cleaned: bool = False) -> Column:
+    """The cell as ``kind``, one of TYPES; null where it is blank or doesn't read. ``cleaned``: it is stripped, and null if blank."""
     if kind not in _READERS:
         raise ValueError(f"unknown field type '{kind}'")
-    return _READERS[kind](clean(c))
+    return _READERS[kind](c if cleaned else clean(c))
 
 
 def failed(c: Column, kind: str) -> Column:

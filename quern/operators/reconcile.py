@@ -17,7 +17,7 @@ from quern.functions.pytext import py_text
 
 @dataclass(frozen=True)
 class Reconciled:
-    """frame: the surviving rows; exceptions: missing_key, duplicate_key and conflict records; counters: one row of sums."""
+    """frame: the surviving rows, with _ord, _rows (how many became the row) and _grouped; exceptions: missing_key, duplicate_key and conflict records; counters: one row of sums."""
 
     frame: DataFrame
     exceptions: DataFrame
@@ -67,7 +67,15 @@ def reconcile(frame: DataFrame, config: Config, mtimes: dict[str, float] | None
     key_cols = [q(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     ks = [f"_k{i}" for i in range(len(keys))]
     row = F.struct("_ord", "_source_file", "_row", *[q(n).alias(f"f{i}") for i, n in enumerate(names)])
-    rows = frame.where(~null_key).select(*key_cols, "_source_file", rank.alias("_rank"), "_ord", row.alias("_r"), *[q(n).alias(f"f{i}") for i, n in enumerate(names)])
+    keyed = frame.where(~null_key)
+    # Most keys stand alone as a rule. They are told apart by a count, so that only rows of repeated keys are packed and compared; the
+    # list of repeated keys then meets the rows in a join that needs no exchange of them while it is small.
+    repeated = keyed.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").drop("_many").withColumnsRenamed({k: f"_again{k}" for k in ks})
+    meets = None
+    for k, name in zip(ks, keys, strict=True):
+        meets = q(name) == F.col(f"_again{k}") if meets is None else meets & (q(name) == F.col(f"_again{k}"))
+    alone_rows = keyed.join(repeated, meets, "left_anti")
+    rows = keyed.join(repeated, meets, "left_semi").select(*key_cols, "_source_file", rank.alias("_rank"), "_ord", row.alias("_r"), *[q(n).alias(f"f{i}") for i, n in enumerate(names)])
     firsts = [F.min(F.when(F.col(f"f{i}").isNotNull(), F.struct("_ord", F.col(f"f{i}").alias("v")))).alias(f"v{i}") for i in range(len(names))]
     ends = [a for i in range(len(names)) for a in (F.min(f"f{i}").alias(f"lo{i}"), F.max(f"f{i}").alias(f"hi{i}"))]
     by_file = rows.groupBy(*ks, "_source_file", "_rank").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r"), *firsts, *ends)
@@ -105,15 +113,16 @@ def reconcile(frame: DataFrame, config: Config, mtimes: dict[str, float] | None
     groups = total.withColumn("clash", any_clash).withColumn("survives", survives).withColumn("note", note).withColumn("key_text", key_text)
 
     def field(i: int) -> Column:
-        value = F.when(F.col("n") == 1, F.col(f"r.f{i}")).when(F.col("clash"), F.col(f"best.r.f{i}")).otherwise(F.col(f"v{i}.v"))
+        value = F.when(F.col("clash"), F.col(f"best.r.f{i}")).otherwise(F.col(f"v{i}.v"))
         return value.alias(names[i])
 
-    source = F.when(F.col("n") == 1, F.col("r._source_file")).when(F.col("clash"), kept).otherwise(F.array_join(F.transform("files", lambda f: f["f"]), "; "))
-    number = F.when((F.col("n") > 1) & F.col("clash"), F.col("best.r._row")).otherwise(F.col("r._row"))
+    source = F.when(F.col("clash"), kept).otherwise(F.array_join(F.transform("files", lambda f: f["f"]), "; "))
+    number = F.when(F.col("clash"), F.col("best.r._row")).otherwise(F.col("r._row"))
     order = F.col("r._ord")
-    frame_out = groups.where("n = 1 or not clash or survives").select(source.alias("_source_file"), number.alias("_row"), *[field(i) for i in range(len(names))], order.alias("_ord"), (F.col("n") > 1).alias("_grouped"))
+    decided_rows = groups.where("not clash or survives").select(source.alias("_source_file"), number.alias("_row"), *[field(i) for i in range(len(names))], order.alias("_ord"), F.col("n").alias("_rows"))
+    frame_out = alone_rows.select("_source_file", "_row", *[q(n) for n in names], "_ord", F.lit(1).cast("bigint").alias("_rows")).unionByName(decided_rows).withColumn("_grouped", F.col("_rows") > 1)
     shown = F.array_join(F.transform("files", lambda f: f["f"]), ", ")
-    merged = groups.where("n > 1 and not clash").select(
+    merged = groups.where("not clash").select(
         shown.alias("file"), F.lit(None).cast("bigint").alias("row"), F.lit(", ".join(keys)).alias("column"), F.col("key_text").alias("value"), F.lit("duplicate_key").alias("kind"), F.lit("warning").alias("severity"),
         F.concat(F.lit("key '"), F.col("key_text"), F.lit("' appears in "), F.col("n").cast("string"), F.lit(" rows with no disagreement; merged into one")).alias("reason"),
     )
@@ -130,9 +139,9 @@ def reconcile(frame: DataFrame, config: Config, mtimes: dict[str, float] | None
         "file", F.lit(None).cast("bigint").alias("row"), "column", "value", F.lit("conflict").alias("kind"), F.when(F.col("survives"), "warning").otherwise("error").alias("severity"),
         F.concat(F.lit("conflicting values for key '"), F.col("key_text"), F.lit("'; "), F.col("note")).alias("reason"),
     )
-    lost = F.col("clash") & ~F.col("survives") & (F.col("n") > 1)
+    lost = F.col("clash") & ~F.col("survives")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    sums = groups.agg(zero(F.sum(F.when(lost, F.col("n")))).alias("h"), zero(F.sum(F.when((F.col("n") > 1) & ~lost, F.col("n") - 1))).alias("s"), zero(F.count_if(lost)).alias("c"))
+    sums = groups.agg(zero(F.sum(F.when(lost, F.col("n")))).alias("h"), zero(F.sum(F.when(~lost, F.col("n") - 1))).alias("s"), zero(F.count_if(lost)).alias("c"))
     keyless_count = keyless.agg(F.count(F.lit(1)).alias("k"))
     counters = sums.crossJoin(keyless_count).select((F.col("h") + F.col("k")).alias("rows_held"), F.col("s").alias("rows_superseded"), F.col("c").alias("conflicts_held"))
     return Reconciled(frame_out, missing.unionByName(merged).unionByName(conflicts), counters)
@@ -140,6 +149,6 @@ def reconcile(frame: DataFrame, config: Config, mtimes: dict[str, float] | None
 
 def in_order(frame: DataFrame) -> DataFrame:
     """Reconciled rows in the order of publication: unique ones first, then groups, each by first appearance."""
-    return frame.orderBy("_grouped", "_ord").drop("_grouped", "_ord")
+    return frame.orderBy("_grouped", "_ord").drop("_grouped", "_ord", "_rows")
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from quern import manifest
 from quern.config import Config
-from quern.functions.coerce import TYPES, coerce, failed
-from quern.functions.text import pinned
+from quern.functions.coerce import TYPES, coerce
+from quern.functions.text import clean, pinned
 from quern.operators import metrics, remediate, rules
 from quern.operators.mapping import Match, map_columns
 from quern.operators.reconcile import in_order, reconcile
@@ -79,16 +79,21 @@ def typed_rows(spark: SparkSession, config: Config, raw: DataFrame, plan: list[t
     """
     where = spark.createDataFrame(plan, _PLAN)
     rows = raw.where("_row > 1").join(where, F.col("path") == F.col("_path"))
-    cell = {f.name: F.when(F.get("_at", F.lit(i)) >= 0, F.get("cells", F.get("_at", F.lit(i)))) for i, f in enumerate(config.fields)}
-    raw_cells = rows.select("_source_file", "_row", (F.shiftleft("_order", 40) + F.col("_row")).alias("_ord"), "_headings", "_at", *[c.alias(n) for n, c in cell.items()])
+    at = lambda i: F.get("_at", F.lit(i))
+    n = range(len(config.fields))
+    # Cell, stripped cell, typed value and findings are columns of their own, each made once: merged into one projection, a date alone
+    # would strip its cell some twenty times.
+    place = ["_source_file", "_ord", "_headings", "_at"]
+    raw_cells = rows.select("_source_file", (F.shiftleft("_order", 40) + F.col("_row")).alias("_ord"), "_headings", "_at", pinned(F.col("_row")).alias("_row"), *[F.when(at(i) >= 0, F.get("cells", at(i))).alias(f"r{i}") for i in n])
+    stripped = raw_cells.select(*place, pinned(F.col("_row")).alias("_row"), *[f"r{i}" for i in n], *[clean(F.col(f"r{i}")).alias(f"c{i}") for i in n])
+    typed = stripped.select(*place, pinned(F.col("_row")).alias("_row"), *[f"r{i}" for i in n], *[f"c{i}" for i in n], *[coerce(F.col(f"c{i}"), f.type, cleaned=True).alias(f"t{i}") for i, f in enumerate(config.fields)])
     bad = []
     for i, f in enumerate(config.fields):
-        c = F.col(f"`{f.name}`")
         if f.type != "string":
-            record = F.struct(F.get("_headings", F.get("_at", F.lit(i))).alias("column"), c.alias("value"), F.lit("coercion").alias("kind"), F.lit("error").alias("severity"), F.lit(f"cannot coerce to {f.type} for field '{f.name}'").alias("reason"))
-            bad.append(F.when(failed(c, f.type), record))
+            record = F.struct(F.get("_headings", at(i)).alias("column"), F.col(f"r{i}").alias("value"), F.lit("coercion").alias("kind"), F.lit("error").alias("severity"), F.lit(f"cannot coerce to {f.type} for field '{f.name}'").alias("reason"))
+            bad.append(F.when(F.col(f"c{i}").isNotNull() & F.col(f"t{i}").isNull(), record))
     empty = F.array().cast("array<struct<column:string,value:string,kind:string,severity:string,reason:string>>")
-    return raw_cells.select("_source_file", "_row", "_ord", *[coerce(F.col(f"`{f.name}`"), f.type).alias(f.name) for f in config.fields], pinned(F.array_compact(F.array(*bad)) if bad else empty).alias("_v"))
+    return typed.select("_source_file", "_row", "_ord", *[F.col(f"t{i}").alias(f.name) for i, f in enumerate(config.fields)], pinned(F.array_compact(F.array(*bad)) if bad else empty).alias("_v"))
 
 
 def _samples(raw: DataFrame, mapped: _Mapped) -> dict[str, list[str]]:
@@ -135,8 +140,10 @@ def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: P
 
     try:
         schema = "path string, _row long, cells array<string>, error string"
-        raw = keep(read_tables(spark, [str(p) for p in files]) if files else spark.createDataFrame([], schema))
-        mapped = _map_files(spark, config, root, files, raw, accepted or {})
+        paths_in = [str(p) for p in files]
+        raw = read_tables(spark, paths_in) if files else spark.createDataFrame([], schema)
+        heads = read_tables(spark, paths_in, heads_only=True) if files else raw
+        mapped = _map_files(spark, config, root, files, heads, accepted or {})
         checked = keep(rules.validate(typed_rows(spark, config, raw, mapped.plan), config))
         about_files = spark.createDataFrame([tuple(s[c] for c in EXCEPTION_COLUMNS) for s in skipped] + mapped.records, rules.RECORD)
         records = about_files.unionByName(rules.records(checked))
@@ -154,12 +161,15 @@ def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: P
             used = sorted({i for r in named.collect() for i in r.ids.split(", ")})
         mtimes = {str(p.relative_to(root)): p.stat().st_mtime for p in files}
         done = reconcile(candidates, config, mtimes)
-        published = keep(done.frame if "_grouped" in done.frame.columns else done.frame.withColumn("_grouped", F.lit(False)))
+        published = keep(done.frame if "_grouped" in done.frame.columns else done.frame.withColumns({"_grouped": F.lit(False), "_rows": F.lit(1)}))
         exceptions = keep(records.select(*EXCEPTION_COLUMNS).unionByName(done.exceptions.select(*EXCEPTION_COLUMNS)))
-        counters = done.counters.first()
-        rows_in, rows_out = checked.count(), published.count()
+        per_file = {r["_source_file"]: r["n"] for r in checked.groupBy("_source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rows_in = sum(per_file.values())
+        rows_out, merged_rows = published.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+        superseded = merged_rows - rows_out
+        conflicts = exceptions.where("kind = 'conflict' and severity = 'error'").select("reason").distinct().count()
         severities = metrics.severity_counts(exceptions).first()
-        totals = {"rows_in": rows_in, "rows_published": rows_out, "rows_held": rows_in - rows_out - counters.rows_superseded, "rows_superseded": counters.rows_superseded, "rows_remediated": remediated, "errors": severities.error, "warnings": severities.warning}
+        totals = {"rows_in": rows_in, "rows_published": rows_out, "rows_held": rows_in - rows_out - superseded, "rows_superseded": superseded, "rows_remediated": remediated, "errors": severities.error, "warnings": severities.warning}
 
         out = (root / config.output.directory).resolve()
         out.mkdir(parents=True, exist_ok=True)
@@ -172,9 +182,8 @@ def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: P
         write_single(exceptions, problems, "csv")
 
         folder = manifest.create_run_folder(root / RUNS, started)
-        per_file = {r["_source_file"]: r["n"] for r in checked.groupBy("_source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
         file_rows = {str(p.relative_to(root)): per_file.get(str(p.relative_to(root)), 0) for p in files}
-        report = Report.build(spark, config, published, exceptions, mapped.matches, file_rows, totals, counters.conflicts_held, folder.name, started, config_path, manifest.sha256_file(config_path))
+        report = Report.build(spark, config, published, exceptions, mapped.matches, file_rows, totals, conflicts, folder.name, started, config_path, manifest.sha256_file(config_path))
         data = folder / "report.json"
         write_report(report, html, data)
         outputs = paths | {"report.json": data}

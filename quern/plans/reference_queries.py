@@ -208,14 +208,14 @@ _GROUPS = "select k, line, count(*) as n, count(distinct quantity) > 1 or count(
 
 @query(f"with l as ({_FIRM}), g as ({_GROUPS}) select l._source_file, l._row, l.k, l.line, l.quantity, l.flag from l join g using (k, line) where n = 1")
 def reconcile_unique(spark: SparkSession, folder: str) -> DataFrame:
-    return reconcile(lines(spark, folder), lines_config()).frame.where("not _grouped").drop("_ord", "_grouped")
+    return reconcile(lines(spark, folder), lines_config()).frame.where("not _grouped").drop("_ord", "_grouped", "_rows")
 
 
 @query(f"""with l as ({_LOOSE}), g as ({_GROUPS}), f as (select k, line, _source_file, min(_row) as r from l group by all)
 select string_agg(_source_file, '; ' order by r) as _source_file, min(r)::bigint as _row, k, line, (select arg_min(quantity, _row) from l where l.k = f.k and l.line = f.line and quantity is not null) as quantity, (select arg_min(flag, _row) from l where l.k = f.k and l.line = f.line and flag is not null) as flag
 from f join g using (k, line) where n > 1 and not clash group by k, line""")
 def reconcile_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return reconcile(lines(spark, folder, loose=True), lines_config()).frame.where("_grouped").drop("_ord", "_grouped")
+    return reconcile(lines(spark, folder, loose=True), lines_config()).frame.where("_grouped").drop("_ord", "_grouped", "_rows")
 
 
 _FILES = "(select string_agg(_source_file, ', ' order by r) from (select _source_file, min(_row) as r from l x where x.k = l.k and x.line = l.line group by _source_file))"

@@ -10,7 +10,9 @@ import csv
 import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,28 +72,82 @@ def _sheet_rows(data: bytes) -> Iterator[list[str | None]]:
     yield from read_sheet(data)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _arrow_cells(columns: list[pa.Array]) -> pa.ListArray:
+    """One list of cells for each row, from columns of text."""
+    n, k = len(columns[0]), len(columns)
+    order = np.arange(n * k).reshape(k, n).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.concat_arrays(columns).take(pa.array(order)))
+
+
+def _fast_csv(data: bytes) -> tuple[list[str], pa.Table] | None:
+    """Headings and cells by pyarrow's reader; null where the file needs the careful one: ragged rows, one column, faulty headings."""
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        data = data.decode("utf-8", "replace").encode("utf-8")
+    head = next(csv.reader(io.StringIO(data[: 1 << 20].decode("utf-8", "ignore").removeprefix("\ufeff"), newline="")), [])
+    if len(head) < 2 or len(set(head)) < len(head) or "" in head or "_row" in head:
+        return None
+    names = [str(i) for i in range(len(head))]
+    ragged: list[int] = []
+
+    def invalid(row) -> str:
+        ragged.append(row.actual_columns)
+        return "skip"
+
+    try:
+        table = pacsv.read_csv(
+            pa.py_buffer(data),
+            read_options=pacsv.ReadOptions(column_names=names, skip_rows=0, use_threads=False, block_size=max(1 << 20, len(data) + 1)),
+            parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=invalid, ignore_empty_lines=True),
+            convert_options=pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=True),
+        )
+    except pa.ArrowInvalid:
+        return None
+    return None if ragged or table.num_rows == 0 else (head, table)
+
+
+def _file_batches(path: str, data: bytes) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(row numbers, cells) of a file in order; raises ReaderError before anything goes out."""
+    fast = _fast_csv(data) if path.lower().endswith(".csv") else None
+    if fast is not None:
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in fast[1].columns]
+        n = fast[1].num_rows
+        for i in range(0, n, BATCH):
+            part = [c.slice(i, BATCH) for c in columns]
+            yield pa.array(np.arange(i + 1, i + 1 + len(part[0]), dtype=np.int64)), _arrow_cells(part)
+        return
+    rows = list(table_rows(path, data))
+    for i in range(0, len(rows), BATCH):
+        numbers, cells = zip(*rows[i : i + BATCH], strict=True)
+        yield pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))
+
+
+def _read(batches: Iterator[pa.RecordBatch], heads_only: bool = False) -> Iterator[pa.RecordBatch]:
+    names = ["path", "_row", "cells", "error"]
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             path = path.as_py()
-            out: list[tuple] = []
             try:
-                for number, cells in table_rows(path, content.as_py()):  # all of it before any goes out
-                    out.append((path, number, cells, None))
+                for numbers, cells in _file_batches(path, content.as_py()):
+                    if heads_only:
+                        numbers, cells = numbers[:1], cells[:1]
+                    n = len(numbers)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path), n), numbers, cells, pa.nulls(n, pa.string())], names=names)
+                    if heads_only:
+                        break
             except ReaderError as exc:
-                out = [(path, None, None, str(exc))]
-            for i in range(0, len(out), BATCH):
-                part = list(zip(*out[i : i + BATCH], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.list_(pa.string())), pa.array(part[3], pa.string())], names=["path", "_row", "cells", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.string())), pa.array([str(exc)])], names=names)
 
 
-def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_tables(spark: SparkSession, paths: list[str], heads_only: bool = False) -> DataFrame:
     """path, _row (1 for the headings), cells, error; a file that can't be read is one row with an error and no number.
 
-    Of the files' bytes a task holds one file's at a time and the next: files are put into partitions by size.
+    With ``heads_only`` each file gives its headings, or its error, after it was read whole. Of the files' bytes a task holds one file's at a
+    time and the next: files are put into partitions by size.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(_read, _SCHEMA).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    return files.mapInArrow(lambda it: _read(it, heads_only), _SCHEMA).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
