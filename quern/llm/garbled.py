@@ -36,24 +36,25 @@ def _table(encoding: str) -> dict[int, int]:
     return out
 
 
-class _Mapped(dict):
-    """For str.translate: what the encoding can't have written becomes NUL; ASCII stays."""
+def _characters(encoding: str, low: int, high: int) -> str:
+    """A class of the characters that stand for the bytes from ``low`` to ``high``."""
+    return "[" + "".join(re.escape(chr(c)) for c, b in _table(encoding).items() if low <= b <= high) + "]"
 
-    def __init__(self, encoding: str):
-        super().__init__(_table(encoding))
 
-    def __missing__(self, c: int) -> int:
-        self[c] = c if c < 0x80 else 0
-        return self[c]
-
-
-_MAPS = {e: _Mapped(e) for e in ENCODINGS}
-#: The automaton of well-formed multibyte UTF-8, over bytes written as characters U+0080 to U+00FF.
-_SEQUENCE = (
-    "(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
-    "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
-)
-_SPAN = re.compile(_SEQUENCE + "+")
+@lru_cache(maxsize=None)
+def _automaton(encoding: str) -> re.Pattern[str]:
+    """The automaton of well-formed multibyte UTF-8, over characters in place of the bytes that an encoding reads as them."""
+    c = lambda low, high=None: _characters(encoding, low, low if high is None else high)
+    more = c(0x80, 0xBF)
+    sequences = [
+        c(0xC2, 0xDF) + more, c(0xE0) + c(0xA0, 0xBF) + more, f"(?:{c(0xE1, 0xEC)}|{c(0xEE, 0xEF)}){more}{{2}}", c(0xED) + c(0x80, 0x9F) + more,
+        c(0xF0) + c(0x90, 0xBF) + more + "{2}", c(0xF1, 0xF3) + more + "{3}", c(0xF4) + c(0x80, 0x8F) + more + "{2}",
+    ]
+    return re.compile("(?:" + "|".join(sequences) + ")+")
+
+
+#: A sequence is two characters at least, none of them ASCII: without such neighbours there is no span.
+_NEIGHBOURS = re.compile("[^\x00-\x7f]{2}")
 #: What restored text is made of: Latin, Greek and Cyrillic letters, marks, punctuation, currency, arrows and signs, the mark of byte order.
 _PLAUSIBLE = re.compile(
     "[\xa0-\xff\u0100-\u017f\u0192\u0218-\u021b\u02c6-\u02dd\u0300-\u0345\u0384-\u03ce\u0400-\u045f\u0490\u0491\u1e00-\u1eff\u2010-\u2027"
@@ -94,10 +95,9 @@ def _believable(text: str, a: int, b: int, restored: str, encoding: str) -> bool
 
 
 def _spans(text: str, encoding: str) -> list[tuple[int, int, str]]:
-    mapped = text.translate(_MAPS[encoding])
-    out = []
-    for m in _SPAN.finditer(mapped):
-        restored = m[0].encode("latin-1").decode("utf-8")
+    table, out = _table(encoding), []
+    for m in _automaton(encoding).finditer(text):
+        restored = bytes(table[ord(c)] for c in m[0]).decode("utf-8")
         if _believable(text, m.start(), m.end(), restored, encoding):
             out.append((m.start(), m.end(), restored))
     return out
@@ -106,6 +106,8 @@ def _spans(text: str, encoding: str) -> list[tuple[int, int, str]]:
 def _once(text: str) -> tuple[str, int]:
     """``text`` with the spans of the encoding that explains most of it decoded, and their number; mentions stay."""
     best: tuple[int, list, str] = (0, [], "")
+    if not _NEIGHBOURS.search(text):
+        return text, 0
     for e in ENCODINGS:
         spans = [s for s in _spans(text, e) if not _mention(text, *s)]
         gain = sum(b - a for a, b, _ in spans)
@@ -174,16 +176,24 @@ def _odd(text: str) -> int:
     return sum(len(m[0]) for m in _ODD.finditer(text))
 
 
+_STRANGE = re.compile("[^\x00-\x7f]+")
+
+
+def _any_odd(text: str) -> bool:
+    """Whether there is an odd place. Each begins at a character that isn't ASCII and looks one further at most."""
+    return any(_ODD.search(text, m.start(), m.end() + 2) for m in _STRANGE.finditer(text))
+
+
 def relettered(text: str) -> tuple[str, int]:
     """``text`` with the segments that read as if one legacy encoding was taken for another put right, and their number.
 
     A segment is put right if it has odd places and one confusion removes three quarters of them or more; the confusion is that
     which leaves the fewest in all odd segments together. Segments that speak of garbled signs are left alone.
     """
-    if not _ODD.search(text):
+    if not _any_odd(text):
         return text, 0
     segments = [m[0] for m in _SEGMENT.finditer(text)]
-    odd = {i: n for i, x in enumerate(segments) if (n := _odd(x)) and not any(_mention(x, *s) for e in ENCODINGS[:2] for s in _spans(x, e))}
+    odd = {i: n for i, x in enumerate(segments) if not x.isascii() and (n := _odd(x)) and not any(_mention(x, *s) for e in ENCODINGS[:2] for s in _spans(x, e))}
     best: tuple[int, dict[int, str]] = (0, {})
     for table in _pairs():
         fixed, gain = {}, 0
