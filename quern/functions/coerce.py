@@ -82,16 +82,25 @@ def _month_name(x: Column) -> Column:
     return F.when(x.rlike(MONTH_NAME_FORM), F.concat_ws("-", part(3), month_number(part(2)), part(1)).try_cast("date"))
 
 
+def _moment(x: Column, kind: str) -> Column:
+    """The reading by the first form that fits. Forms are picked by what tells them apart, so that a cell meets two of them at most."""
+    day = lambda *at: F.coalesce(*[_reading(x, DATE_FORMS[i], "date") for i in at]).cast(kind)
+    time = lambda i: _reading(x, DATETIME_FORMS[i], "timestamp_ntz").cast(kind)
+    timed = x.contains(":")
+    return (
+        F.when(x.rlike(r"^\d{4}[-/]"), F.when(timed, time(0)).otherwise(day(0, 4)))
+        .when(x.contains("/"), F.when(timed, time(1)).otherwise(day(1, 2)))
+        .when(x.contains("-"), day(3))
+        .otherwise(_month_name(x).cast(kind))
+    )
+
+
 def _date(x: Column) -> Column:
-    days = [_reading(x, f, "date") for f in DATE_FORMS]
-    times = [_reading(x, f, "timestamp_ntz").cast("date") for f in DATETIME_FORMS]
-    return F.coalesce(*days, *times, _month_name(x))
+    return _moment(x, "date")
 
 
 def _datetime(x: Column) -> Column:
-    times = [_reading(x, f, "timestamp_ntz") for f in DATETIME_FORMS]
-    days = [_reading(x, f, "date").cast("timestamp_ntz") for f in DATE_FORMS]
-    return F.coalesce(*times, *days, _month_name(x).cast("timestamp_ntz"))
+    return _moment(x, "timestamp_ntz")
 
 
 _READERS = {"string": lambda x: x, "integer": _integer, "float": _float, "boolean": _boolean, "date": _date, "datetime": _datetime}

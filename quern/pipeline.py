@@ -26,6 +26,8 @@ from quern.sources.files import read_tables
 
 EXCEPTION_COLUMNS = [f.name for f in rules.RECORD.fields]
 SAMPLES = 5
+#: Bytes of sources from which the rows of few files are spread over all tasks.
+SPREAD_BYTES = 16 << 20
 
 
 class PipelineError(RuntimeError):
@@ -143,6 +145,9 @@ def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: P
         paths_in = [str(p) for p in files]
         raw = read_tables(spark, paths_in) if files else spark.createDataFrame([], schema)
         heads = read_tables(spark, paths_in, heads_only=True) if files else raw
+        tasks = spark.sparkContext.defaultParallelism
+        if 0 < len(files) < tasks and sum(p.stat().st_size for p in files) > SPREAD_BYTES:
+            raw = raw.repartition(tasks, "path", "_row")  # few large files: coercion costs more than moving the rows
         mapped = _map_files(spark, config, root, files, heads, accepted or {})
         checked = keep(rules.validate(typed_rows(spark, config, raw, mapped.plan), config))
         about_files = spark.createDataFrame([tuple(s[c] for c in EXCEPTION_COLUMNS) for s in skipped] + mapped.records, rules.RECORD)
