@@ -40,18 +40,19 @@ class ColumnSpec:
 
 
 def _power(number: Column, p: int) -> Column:
-    """Sum of the p-th powers in units of 10**-POWER_DIGITS, exact and free of order; null if it leaves 38 digits."""
+    """The p-th power in units of 10**-POWER_DIGITS, exact; null if the number leaves 19 digits or the power 38."""
     k = F.round(number * 10**POWER_DIGITS).try_cast("decimal(19,0)").cast("decimal(38,0)")
-    return F.try_sum(reduce(F.try_multiply, [k] * p).cast("decimal(38,0)"))
+    return reduce(F.try_multiply, [k] * p).cast("decimal(38,0)")
 
 
-def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types: bool = True, distinct: bool = True) -> DataFrame:
+def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types: bool = True, distinct: bool = True, moments: bool = False) -> DataFrame:
     """One row for each load and column.
 
     load, column_name, rows, non_empty, valid, completeness_pct, validity_pct (null where validity isn't checked), trues (booleans),
     min_number, max_number, s1 to s4 (exact power sums of the valid numbers in units of 10**-POWER_DIGITS; null where a column has no
-    numbers or the sum leaves 38 digits), numbers; with ``distinct`` distinct_values, min_text and max_text; with ``types``
-    inferred_type. A load of which every cell of a column is blank still has a row for it; an empty table gives none. A null load
+    numbers, or the sum or any number's power leaves 38 digits, so that none stands for a part of the numbers), numbers; with
+    ``moments`` mean, variance and skewness of the numbers as doubles; with ``distinct`` distinct_values, min_text and max_text; with
+    ``types`` inferred_type. A load of which every cell of a column is blank still has a row for it; an empty table gives none. A null load
     is a load of its own.
     """
     cells = df.select(F.col(load).alias("_load"), *[clean(F.col(c.name)).alias(f"c{i}") for i, c in enumerate(columns)])
@@ -71,7 +72,9 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
         if c.kind in ("integer", "float"):
             number = F.col(f"x{i}")
             wide += [F.min(number).alias(f"nlo{i}"), F.max(number).alias(f"nhi{i}"), F.count(number).alias(f"nn{i}")]
-            wide += [_power(number, p).alias(f"s{p}_{i}") for p in (1, 2, 3, 4)]
+            wide += [F.try_sum(_power(number, p)).alias(f"s{p}_{i}") for p in (1, 2, 3, 4)]
+            if moments:
+                wide += [F.avg(number).alias(f"mean{i}"), F.var_pop(number).alias(f"var{i}"), F.skewness(number).alias(f"skew{i}")]
         if types:
             readings[f"k{i}"] = F.substring(cell_class(x), 1, 2)
             wide += [F.count_if(F.col(f"k{i}") == k).alias(f"{k}{i}") for k in ("in", "fl", "th", "bo", "da")]
@@ -83,6 +86,8 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
         null = lambda t: F.lit(None).cast(t)
         n = F.col(f"n{i}")
         number = c.kind in ("integer", "float")
+        # try_sum leaves out powers that are null. Powers grow with the size of a number, so all are there if those of both ends are.
+        whole = lambda p: _power(F.col(f"nlo{i}"), p).isNotNull() & _power(F.col(f"nhi{i}"), p).isNotNull()
         fields = [
             F.lit(c.name).alias("column_name"),
             n.alias("non_empty"),
@@ -91,8 +96,10 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
             (F.col(f"nlo{i}") if number else null("double")).alias("min_number"),
             (F.col(f"nhi{i}") if number else null("double")).alias("max_number"),
             (F.col(f"nn{i}") if number else null("bigint")).alias("numbers"),
-            *[(F.col(f"s{p}_{i}") if number else null("decimal(38,0)")).alias(f"s{p}") for p in (1, 2, 3, 4)],
+            *[(F.when(whole(p), F.col(f"s{p}_{i}")) if number else null("decimal(38,0)")).alias(f"s{p}") for p in (1, 2, 3, 4)],
         ]
+        if moments:
+            fields += [(F.col(f"{short}{i}") if number else null("double")).alias(long) for short, long in (("mean", "mean"), ("var", "variance"), ("skew", "skewness"))]
         if types:
             ints, floats, groups, words, dates = (F.col(f"{k}{i}") for k in ("in", "fl", "th", "bo", "da"))
             fields.append(
@@ -116,29 +123,58 @@ def distinct_cells(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
 
 
 def standardised_shifts(profile: DataFrame, load: str, table: str | None = None) -> DataFrame:
-    """How far each load's numbers lie from those of all other loads together.
+    """How far each load's numbers lie from those of all other loads together: a row for each load and column with numbers.
 
     From ``profile_columns``: the power sums of the other loads are those of all less the load's own, which is exact as the sums
-    are. shift = (mean - mean of the others) / root of the mean of both variances; spread = ratio of the standard deviations; skew =
-    the load's third standardised moment. Null where a side has no numbers or no variance.
+    are. Loads whose sums leave 38 digits count by their moments in doubles (of a profile without ``moments``: they and, where they
+    are among the others, the others' figures are null); the others' moments are then merged, never subtracted. shift = (mean - mean
+    of the others) / root of the mean of both variances; spread = ratio of the standard deviations; skew = the load's third
+    standardised moment. Null where a side has no numbers or no variance, or leaves the range of doubles.
     """
+    from pyspark.sql import Window
+
     keys = ([table] if table else []) + ["column_name"]
-    p = profile.where("numbers > 0 and s2 is not null")
-    total = p.groupBy(*keys).agg(*[F.try_sum(c).alias(f"a_{c}") for c in ("s1", "s2")], F.sum("numbers").alias("a_n"))
+    p = profile.where("numbers > 0")
+    if "mean" not in p.columns:
+        p = p.withColumns({c: F.lit(None).cast("double") for c in ("mean", "variance", "skewness")})
+    exact = F.col("s2").isNotNull()  # s1 is then too
+    total = p.groupBy(*keys).agg(
+        *[F.try_sum(c).alias(f"a_{c}") for c in ("s1", "s2")], F.sum("numbers").alias("a_n"),
+        F.count_if(~exact).alias("a_wide"), F.percentile_approx("mean", 0.5, 10_000).alias("a_mid"),
+    )
     j = p.join(total, keys)
+    # The other loads' moments about a middle load's mean: sums over the loads before and after, as subtraction would lose all digits.
+    d = F.col("mean") - F.col("a_mid")
+    n = F.col("numbers")
+    j = j.withColumns({"w0": F.when(d.isNotNull(), n), "w1": n * d, "w2": n * (F.col("variance") + d * d)})
+    before, after = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col(load).asc_nulls_first(), F.col(load).desc_nulls_last()))
+    side = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)) + F.coalesce(F.sum(c).over(after), F.lit(0))
+    j = j.withColumns({f"o{i}": side(f"w{i}") for i in range(3)})
     unit = float(10**POWER_DIGITS)
-    n, m = F.col("numbers"), F.col("a_n") - F.col("numbers")
+    m = F.col("a_n") - n
     mean = lambda s, k: F.when(k > 0, s.cast("double") / k / unit)
-    rest = lambda c: F.col(f"a_{c}") - F.col(c)
-    m1, r1 = mean(F.col("s1"), n), mean(rest("s1"), m)
     # The variance in exact decimals up to the last division: n * s2 - s1 ** 2.
     var = lambda s1, s2, k: F.when(k > 0, F.greatest(F.lit(0.0), s2.cast("double") / k - F.pow(s1.cast("double") / k, F.lit(2.0))) / unit**2)
-    v1, v2 = var(F.col("s1"), F.col("s2"), n), var(rest("s1"), rest("s2"), m)
-    pooled = F.sqrt((v1 + v2) / 2)
+    # a_s1 and a_s2 are sums over the loads whose sums are exact: those are all the others of a load that is the only one that isn't.
+    own_part = lambda c: F.when(exact, F.col(c)).otherwise(F.lit(0).cast("decimal(38,0)"))
+    others_exact = (F.col("a_wide") - F.when(exact, 0).otherwise(1) == 0) & F.col("a_s1").isNotNull() & F.col("a_s2").isNotNull()
+    rest = lambda c: F.col(f"a_{c}") - own_part(c)
+    merged = (m > 0) & (F.col("o0") == m)
+    shift1 = F.col("o1") / m
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    j = j.withColumns({
+        "m1": F.when(exact, mean(F.col("s1"), n)).otherwise(finite(F.col("mean"))),
+        "v1": F.when(exact, var(F.col("s1"), F.col("s2"), n)).otherwise(finite(F.col("variance"))),
+        "r1": F.when(others_exact, mean(rest("s1"), m)).when(merged, finite(F.col("a_mid") + shift1)),
+        "v2": F.when(others_exact, var(rest("s1"), rest("s2"), m)).when(merged, finite(F.greatest(F.lit(0.0), F.col("o2") / m - shift1 * shift1))),
+    })
+    m1, v1, r1, v2 = (F.col(c) for c in ("m1", "v1", "r1", "v2"))
+    pooled = F.sqrt(v1 / 2 + v2 / 2)
     third = F.col("s3").cast("double") / n / unit**3 - 3 * m1 * F.col("s2").cast("double") / n / unit**2 + 2 * F.pow(m1, F.lit(3.0))
+    skew = F.when(F.col("s3").isNotNull(), F.when(v1 > 0, third / F.pow(v1, F.lit(1.5)))).when(v1 > 0, finite(F.col("skewness")))
     return j.select(
         *([table] if table else []), load, "column_name", "numbers", m1.alias("mean"), r1.alias("mean_of_others"),
-        F.when(pooled > 0, (m1 - r1) / pooled).alias("shift"), F.when(v2 > 0, F.sqrt(v1) / F.sqrt(v2)).alias("spread"), F.when(v1 > 0, third / F.pow(v1, F.lit(1.5))).alias("skew"),
+        F.when(pooled > 0, (m1 - r1) / pooled).alias("shift"), F.when(v2 > 0, F.sqrt(v1) / F.sqrt(v2)).alias("spread"), skew.alias("skew"),
     )
 
 

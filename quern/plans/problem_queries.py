@@ -51,7 +51,7 @@ def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_shifts(spark: SparkSession, folder: str) -> DataFrame:
     """Standardised difference of each load's numbers from those of the table's other loads."""
-    p = cp.profile_columns(_customers(spark, folder), "_load", [c for c in FIELD_SPECS if c.kind == "float"], types=False, distinct=False)
+    p = cp.profile_columns(_customers(spark, folder), "_load", [c for c in FIELD_SPECS if c.kind == "float"], types=False, distinct=False, moments=True)
     return cp.standardised_shifts(_named(p), "load_id", "table_name")
 
 

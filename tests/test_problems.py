@@ -84,6 +84,30 @@ def test_shifts(spark):
     assert got["c"].shift > 3
 
 
+def test_huge_values_are_not_left_out(spark):
+    """A sum that can't hold one of its numbers is null, and shifts count the number all the same."""
+    loads = {"a": [1.0, 2.0, 1e8, 1e18], "b": [1.0, 2.0, 3.0], "c": [2.0, 3.0, 7.0], "d": [1e18, 2e18], "e": [1e12, 1.0, 2.0]}
+    df = spark.createDataFrame([(k, str(x)) for k, xs in loads.items() for x in xs], "load string, v string")
+    one = [cp.ColumnSpec("v", "float")]
+    p = {r.load: r for r in cp.profile_columns(df, "load", one).collect()}
+    assert (p["a"].numbers, p["a"].s1, p["a"].s2, p["a"].s3, p["a"].s4) == (4, None, None, None, None)
+    assert (p["b"].s1, p["b"].s4) == (600, (1 + 16 + 81) * 10**8)
+    assert p["e"].s2 == 10**28 + 5 * 10**4 and p["e"].s3 is None
+    for held in (set("abcde"), set("abce"), set("bcd"), set("bc")):
+        some = df.where(F.col("load").isin(sorted(held)))
+        got = {r.load: r for r in cp.standardised_shifts(cp.profile_columns(some, "load", one, moments=True), "load").collect()}
+        assert set(got) == held
+        for k in held:
+            xs, rest = loads[k], [x for j in held if j != k for x in loads[j]]
+            v, w = statistics.pvariance(xs), statistics.pvariance(rest)
+            assert got[k].mean == pytest.approx(statistics.fmean(xs), rel=1e-9)
+            assert got[k].mean_of_others == pytest.approx(statistics.fmean(rest), rel=1e-9)
+            assert got[k].shift == pytest.approx((statistics.fmean(xs) - statistics.fmean(rest)) / ((v + w) / 2) ** 0.5, rel=1e-6)
+            assert got[k].spread == pytest.approx((v / w) ** 0.5, rel=1e-6)
+            third = statistics.fmean([(x - statistics.fmean(xs)) ** 3 for x in xs])
+            assert got[k].skew == pytest.approx(third / v**1.5, rel=1e-6, abs=1e-6)
+
+
 # ---- 3: records
 
 
