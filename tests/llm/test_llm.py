@@ -174,6 +174,23 @@ def test_large_districts_agree(spark, monkeypatch):
     assert names.party_pairs(names.link_parties(df.limit(0), "id", "name", "district")).count() == 0
 
 
+def test_links_do_not_depend_on_size(spark, monkeypatch):
+    """A district gives the very same pairs in one block, in many, and cut by n-grams, whatever other districts are there."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
+    rows = [("a1", "Bartholomew Ashcroft", "S0"), ("a2", "B. Ashcroft", "S0"), *[(f"f{i}", f"{word()} {word()}", "S0") for i in range(20)]]
+    rows += [(f"g{i}", f"{word()} Ashcroft", "S1") for i in range(30)]  # makes the surname common, but elsewhere
+    rows += [("h1", "Oak Vale Grain Co", "S0"), ("h2", "Oakvale Grain Company", "S0"), ("h3", "Oak Vaile Grain Ltd", "S0"), ("i1", "J. Li", "S0"), ("i2", "J Li", "S0"), ("i3", "Li, J", "S0")]
+    df = spark.createDataFrame(rows, "id string, name string, district string").unionByName(_people(spark, 8).drop("party"))
+    pairs = lambda x: {tuple(r) for r in names.party_pairs(names.link_parties(x, "id", "name", "district")).collect()}
+    whole = pairs(df)
+    assert ("A1", "A2") in whole and ("I1", "I2") in whole
+    monkeypatch.setattr(names, "BLOCK", 12)
+    for many in (8, 1):
+        monkeypatch.setattr(names, "MANY", many)
+        assert pairs(df) == whole
+
+
 # ---- 8: tokens
 
 
