@@ -61,16 +61,25 @@ def rejected_cells(records: DataFrame, aliases: dict[str, list[str]] | None = No
     return typed.withColumn("reasons", F.when(F.col("reason").isNotNull(), F.array("reason")).when(F.col("headings").isNull(), empty).otherwise(reasons)).drop("_kinds")
 
 
+def _others(fields: dict[str, str]) -> Column:
+    """Map from meaning to text of every cell that isn't read as one of ``fields``; of _fields and cells."""
+    rest = F.filter(F.arrays_zip("_fields", "cells"), lambda z: ~z["_fields"].isin(list(fields)))
+    entries = F.transform(rest, lambda z: F.struct(z["_fields"].alias("k"), z["cells"].alias("v")))
+    first_only = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.concat(acc, F.array(e))))
+    return F.map_from_entries(first_only)
+
+
 def loaded_rows(records: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """The records without reasons as typed rows: the columns of ``records`` but cells, then ``fields`` (name to type of coerce).
 
-    A field that a file doesn't have is null; of two columns with one meaning the first counts.
+    A field that a file doesn't have is null; of two columns with one meaning the first counts. The cells of all other columns go
+    into ``others``, a map from field to text, as in unified_table.
     """
     ok = records.where(F.size("reasons") == 0).withColumn("_fields", F.transform("headings", lambda h: meaning(h, aliases)))
     at = lambda f: F.get("cells", (F.array_position("_fields", f) - 1).cast("int"))
     cell = lambda f: F.when(F.array_position("_fields", f) > 0, at(f))
     own = [c for c in records.columns if c not in ("cells", "headings", "reason", "reasons")]
-    return ok.select(*own, *[coerce(cell(f), k).alias(f) for f, k in fields.items()])
+    return ok.select(*own, *[coerce(cell(f), k).alias(f) for f, k in fields.items()], _others(fields).alias("others"))
 
 
 #: A cell's type for drift; the order decides between types that are as frequent.
@@ -152,7 +161,4 @@ def unified_table(lines: DataFrame, files: DataFrame, fields: dict[str, str], al
     r = parse_files(lines).where("reason is null and headings is not null").join(files.select("file_name").distinct(), "file_name", "left_semi")
     r = r.withColumn("_fields", F.transform("headings", lambda h: meaning(h, aliases)))
     cell = lambda f: F.when(F.array_position("_fields", f) > 0, F.get("cells", (F.array_position("_fields", f) - 1).cast("int")))
-    rest = F.filter(F.arrays_zip("_fields", "cells"), lambda z: ~z["_fields"].isin(list(fields)))
-    entries = F.transform(rest, lambda z: F.struct(z["_fields"].alias("k"), z["cells"].alias("v")))
-    first_only = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.concat(acc, F.array(e))))
-    return r.select("file_name", "line_no", *[coerce(cell(f), k).alias(f) for f, k in fields.items()], F.map_from_entries(first_only).alias("others"))
+    return r.select("file_name", "line_no", *[coerce(cell(f), k).alias(f) for f, k in fields.items()], _others(fields).alias("others"))

@@ -144,6 +144,12 @@ def test_rejects_and_loads(spark):
     assert sorted((x.customer_id, x.lifetime_value, x.active, x.notes) for x in rows) == [("1", 5.5, True, None), ("3", None, None, None)]
 
 
+def test_no_cell_of_a_loaded_row_is_lost(spark):
+    lines = table(spark, {"n.csv": ["customer_id,Depot,LTV,Phone Ext", "1,north,5.5, 12 ", "2,,x,3", "3,south,,"], "m.csv": ["customer_id", "4"]})
+    rows = feeds.loaded_rows(feeds.rejected_cells(parse_files(lines)), {"customer_id": "string", "lifetime_value": "float"}).collect()
+    assert {r.customer_id: r.others for r in rows} == {"1": {"depot": "north", "phoneext": " 12 "}, "3": {"depot": "south", "phoneext": ""}, "4": {}}
+
+
 # ---- 5: drift
 
 
