@@ -61,21 +61,29 @@ def rejected_cells(records: DataFrame, aliases: dict[str, list[str]] | None = No
     return typed.withColumn("reasons", F.when(F.col("reason").isNotNull(), F.array("reason")).when(F.col("headings").isNull(), empty).otherwise(reasons)).drop("_kinds")
 
 
+def _field_names(aliases: dict[str, list[str]] | None) -> Column:
+    """Meaning of each of ``headings``; the second and later ones of a meaning are numbered as in column_catalogue."""
+
+    def numbered(fields: Column) -> Column:
+        again = lambda f, i: F.size(F.filter(F.slice(fields, F.lit(1), i + 1), lambda x: x == f))
+        return F.transform(fields, lambda f, i: F.when(again(f, i) > 1, F.concat_ws("#", f, again(f, i))).otherwise(f))
+
+    return let(F.transform("headings", lambda h: meaning(h, aliases)), numbered)
+
+
 def _others(fields: dict[str, str]) -> Column:
-    """Map from meaning to text of every cell that isn't read as one of ``fields``; of _fields and cells."""
+    """Map from meaning to text of every cell that isn't read as one of ``fields``; of _fields (of _field_names) and cells."""
     rest = F.filter(F.arrays_zip("_fields", "cells"), lambda z: ~z["_fields"].isin(list(fields)))
-    entries = F.transform(rest, lambda z: F.struct(z["_fields"].alias("k"), z["cells"].alias("v")))
-    first_only = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.concat(acc, F.array(e))))
-    return F.map_from_entries(first_only)
+    return F.map_from_entries(F.transform(rest, lambda z: F.struct(z["_fields"].alias("k"), z["cells"].alias("v"))))
 
 
 def loaded_rows(records: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """The records without reasons as typed rows: the columns of ``records`` but cells, then ``fields`` (name to type of coerce).
 
-    A field that a file doesn't have is null; of two columns with one meaning the first counts. The cells of all other columns go
-    into ``others``, a map from field to text, as in unified_table.
+    A field that a file doesn't have is null; of two columns with one meaning the first counts. The cells of all other columns, the
+    second with a meaning among them, go into ``others``, a map from field to text, as in unified_table.
     """
-    ok = records.where(F.size("reasons") == 0).withColumn("_fields", F.transform("headings", lambda h: meaning(h, aliases)))
+    ok = records.where(F.size("reasons") == 0).withColumn("_fields", _field_names(aliases))
     at = lambda f: F.get("cells", (F.array_position("_fields", f) - 1).cast("int"))
     cell = lambda f: F.when(F.array_position("_fields", f) > 0, at(f))
     own = [c for c in records.columns if c not in ("cells", "headings", "reason", "reasons")]
@@ -155,10 +163,11 @@ def column_changes(catalogue: DataFrame) -> DataFrame:
 def unified_table(lines: DataFrame, files: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """All files as one table: file_name, line_no and ``fields`` cast by the alias table; cells that don't read are null.
 
-    Every other column goes into ``others``, a map from field to text, so that none is lost. Records with broken structure aren't
+    Every other column goes into ``others``, a map from field to text, so that none is lost; the second of a meaning is
+    field#2. Records with broken structure aren't
     rows; rejected_cells reports them.
     """
     r = parse_files(lines).where("reason is null and headings is not null").join(files.select("file_name").distinct(), "file_name", "left_semi")
-    r = r.withColumn("_fields", F.transform("headings", lambda h: meaning(h, aliases)))
+    r = r.withColumn("_fields", _field_names(aliases))
     cell = lambda f: F.when(F.array_position("_fields", f) > 0, F.get("cells", (F.array_position("_fields", f) - 1).cast("int")))
     return r.select("file_name", "line_no", *[coerce(cell(f), k).alias(f) for f, k in fields.items()], _others(fields).alias("others"))

@@ -179,6 +179,14 @@ def test_drift_types(spark):
     assert [r[0] for r in df.select(feeds.drift_type(F.col("c"))).collect()] == ["integer", "integer", "float", "float", "boolean", "date", "date", "datetime", "datetime", "string", None, None]
 
 
+def test_second_column_of_a_meaning_is_kept(spark):
+    lines = table(spark, {"a": ["Name,e-mail,Mail,Depot,Customer Name,Depot,depot", "Ann,a@b.c,d@e.f,1,Ann B,2,3"]})
+    fields = {"full_name": "string", "email": "string"}
+    want = {"email#2": "d@e.f", "depot": "1", "full_name#2": "Ann B", "depot#2": "2", "depot#3": "3"}
+    for r in (feeds.unified_table(lines, lines, fields).first(), feeds.loaded_rows(feeds.rejected_cells(parse_files(lines)), fields).first()):
+        assert (r.full_name, r.email, r.others) == ("Ann", "a@b.c", want)
+
+
 # ---- 7: timestamps
 
 CASES = [
