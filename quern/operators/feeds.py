@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.coerce import INTEGER, coerce
 from quern.functions.text import clean, compact_heading, let
-from quern.sources.records import parse_files
+from quern.sources.records import parse_files, parse_records
 
 #: Headings by meaning, as letters and digits only. Any other heading means itself.
 ALIASES = {
@@ -61,6 +61,19 @@ def rejected_cells(records: DataFrame, aliases: dict[str, list[str]] | None = No
     return typed.withColumn("reasons", F.when(F.col("reason").isNotNull(), F.array("reason")).when(F.col("headings").isNull(), empty).otherwise(reasons)).drop("_kinds")
 
 
+def reported_lines(lines: DataFrame, aliases: dict[str, list[str]] | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+    """file_name, line_no, reason of each line of ``lines`` that can't be loaded, also for want of headings.
+
+    The reasons are those of rejected_cells and ``headings``, for each line of a file whose line 1 is missing, blank or of broken
+    quoting, and for that line itself. Blank lines below line 1 are no records.
+    """
+    records = rejected_cells(parse_files(lines), aliases, kinds)
+    reasons = F.concat("reasons", F.when(F.col("headings").isNull(), F.array(F.lit("headings"))).otherwise(F.array().cast("array<string>")))
+    below = records.select("file_name", "line_no", F.explode(reasons).alias("reason"))
+    first = lines.where("line_no = 1").groupBy("file_name", "line_no").agg(F.min("raw_line").alias("_heading"))
+    return below.unionByName(parse_records(first, "_heading").where("cells is null").select("file_name", "line_no", F.lit("headings").alias("reason")))
+
+
 def _field_names(aliases: dict[str, list[str]] | None) -> Column:
     """Meaning of each of ``headings``; the second and later ones of a meaning are numbered as in column_catalogue."""
 
@@ -123,8 +136,6 @@ def column_catalogue(lines: DataFrame, files: DataFrame, aliases: dict[str, list
     rank = reduce(lambda acc, t: acc.when(F.col("type") == t[1], t[0]), enumerate(DRIFT_TYPES), F.when(F.lit(False), 0))
     types = counts.groupBy("file_name", "position").agg(F.max_by("type", F.struct("n", -rank)).alias("type"))
     # Headings come from the file's first record, so that a file without any record below it has columns too.
-    from quern.sources.records import parse_records
-
     first = lines.where("line_no = 1").groupBy("file_name").agg(F.min("raw_line").alias("_heading"))
     heads = parse_records(first, "_heading").where("cells is not null").select("file_name", F.posexplode("cells").alias("position", "heading"))
     order = Window.partitionBy("feed_code").orderBy(F.col("file_month").asc_nulls_first(), "file_name")

@@ -96,6 +96,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return _records(spark, folder).select("file_name", "line_no", F.explode("reasons").alias("reason"))
 
 
+def p3_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """As p3_found, and with the reason headings each line of a file without readable headings."""
+    return feeds.reported_lines(table(spark, folder, "raw_lines"))
+
+
 def p3_customers(spark: SparkSession, folder: str) -> DataFrame:
     """The customer lines that can be loaded, as typed rows."""
     return feeds.loaded_rows(_records(spark, folder).where("array_contains(headings, 'kind') = false"), CUSTOMER_FIELDS)
@@ -131,6 +136,7 @@ QUERIES = {
     "p1_shifts": p1_shifts,
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p3_rejects": p3_rejects,
     "p3_customers": p3_customers,
     "p3_exceptions": p3_exceptions,
     "p5_found": p5_found,

@@ -150,6 +150,16 @@ def test_no_cell_of_a_loaded_row_is_lost(spark):
     assert {r.customer_id: r.others for r in rows} == {"1": {"depot": "north", "phoneext": " 12 "}, "3": {"depot": "south", "phoneext": ""}, "4": {}}
 
 
+def test_files_without_headings_are_reported(spark):
+    lines = table(spark, {"ok.csv": ["customer_id,LTV", "1,2", "1,x"], "blank.csv": [" ", "1,2", ""], "quote.csv": ['"id,LTV', "1,2", '"3'], "null.csv": [None, "1"]})
+    lost = spark.createDataFrame([("lost.csv", 2, "a,b"), ("lost.csv", 3, "c")], lines.schema)
+    got = sorted(tuple(r) for r in feeds.reported_lines(lines.unionByName(lost)).collect())
+    assert got == [
+        ("blank.csv", 1, "headings"), ("blank.csv", 2, "headings"), ("lost.csv", 2, "headings"), ("lost.csv", 3, "headings"), ("null.csv", 1, "headings"), ("null.csv", 2, "headings"),
+        ("ok.csv", 3, "number"), ("quote.csv", 1, "headings"), ("quote.csv", 2, "headings"), ("quote.csv", 3, "headings"), ("quote.csv", 3, "quoting"),
+    ]
+
+
 # ---- 5: drift
 
 
