@@ -47,9 +47,11 @@ FORMS: list[tuple[str, str, list[str]]] = [
 ]
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})$"
+#: Twelve digits that can be a minute of these two centuries; as milliseconds they would all lie in 1976.
+COMPACT_MINUTE = r"^((?:19|20)\d{2})(\d{2})(\d{2})([01]\d|2[0-3])([0-5]\d)$"
 SERIAL = r"^\d{5}(?:\.\d+)?$"
 #: Epoch numbers by their digits: units a second.
-EPOCHS = {10: 1, 13: 1_000, 16: 1_000_000, 19: 1_000_000_000}
+EPOCHS = {9: 1, 10: 1, 12: 1_000, 13: 1_000, 15: 1_000_000, 16: 1_000_000, 18: 1_000_000_000, 19: 1_000_000_000}
 
 
 def known_zones(spark: SparkSession) -> list[str]:
@@ -67,8 +69,9 @@ def normalise_instants(df: DataFrame, text: str, zone: str, into: str = "instant
 
     ``zone``: column with the IANA zone of the record, for times without one; may be null, and then such times are unreadable.
     Null, blank and unreadable texts give null, as do impossible dates, times, offsets and zones. Day before month unless that is
-    impossible. Digits alone are read as YYYYMMDD, a spreadsheet's day number (5 digits) or seconds, milliseconds, microseconds or
-    nanoseconds since 1970 (10, 13, 16, 19 digits). Rows and other columns are kept.
+    impossible. Digits alone are read as YYYYMMDD, YYYYMMDDHHMM from 1900 to 2099, YYYYMMDDHHMMSS, a spreadsheet's day number (5
+    digits) or seconds, milliseconds, microseconds or nanoseconds since 1970 (9 or 10, 12 or 13, 15 or 16, 18 or 19 digits: from 1973
+    on); 12 digits are milliseconds where they are no such minute. Rows and other columns are kept.
     """
     zones = F.split(F.lit("|".join(known_zones(df.sparkSession))), "\\|")  # a constant, folded into one literal
     known = F.map_from_arrays(zones, zones)
@@ -85,6 +88,7 @@ def normalise_instants(df: DataFrame, text: str, zone: str, into: str = "instant
         by_digits = [
             (x.rlike(COMPACT), F.regexp_replace(x, COMPACT, "compact|$1-$2-$3|$1-$2-$3||||||")),
             (x.rlike(COMPACT_TIME), F.regexp_replace(x, COMPACT_TIME, "compact|$1-$2-$3|$1-$2-$3|$4|$5|$6|||")),
+            (x.rlike(COMPACT_MINUTE) & F.regexp_replace(x, COMPACT_MINUTE, "$1-$2-$3").try_cast("date").isNotNull(), F.regexp_replace(x, COMPACT_MINUTE, "compact|$1-$2-$3|$1-$2-$3|$4|$5||||")),
             (x.rlike(SERIAL), F.concat(F.lit("serial|"), x)),
             (x.rlike(r"^\d+$") & F.length(x).isin(list(EPOCHS)), F.concat(F.lit("epoch|"), x)),
         ]
@@ -121,7 +125,7 @@ def normalise_instants(df: DataFrame, text: str, zone: str, into: str = "instant
         """Whole numbers since 1970, added to a local time in UTC, which no session zone can shift."""
         start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         n = digits.try_cast("bigint")
-        sized = [F.when(F.length(digits) == k, n * (1_000_000 // v) if v <= 1_000_000 else F.floor(n / (v // 1_000_000)).cast("bigint")) for k, v in EPOCHS.items()]
+        sized = [F.when(F.length(digits) == k, n * (1_000_000 // v) if v <= 1_000_000 else F.substring(digits, 1, k - 3).try_cast("bigint")) for k, v in EPOCHS.items()]
         return F.timestamp_add("MICROSECOND", F.coalesce(*sized), start)
 
     def iso(instant: Column) -> Column:

@@ -226,6 +226,16 @@ def test_instants(spark, zone):
     assert normalise_instants(df.limit(0), "t", "z").count() == 0
 
 
+def test_short_epochs(spark):
+    cases = {
+        "999999999": "2001-09-09T01:46:39.000000Z", "100000000": "1973-03-03T09:46:40.000000Z", "999999999999": "2001-09-09T01:46:39.999000Z", "915148800123": "1999-01-01T00:00:00.123000Z",
+        "915148800123456": "1999-01-01T00:00:00.123456Z", "915148800123456789": "1999-01-01T00:00:00.123456Z", "1508288520923456999": "2017-10-18T01:02:00.923456Z",
+        "202401020304": "2024-01-01T16:04:00.000000Z", "199912312359": "1999-12-31T12:59:00.000000Z", "202413020304": "1976-05-31T17:50:20.304000Z", "12345678901": None, "12345678": None,
+    }
+    df = spark.createDataFrame([(t, "Australia/Sydney") for t in cases], "t string, z string")
+    assert {r.t: r.instant and r.instant.norm for r in normalise_instants(df, "t", "z").collect()} == cases
+
+
 def test_instants_without_zone(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05", None), ("2024-01-02", None), ("2024-01-02 03:04:05", "No/Where"), ("2024-01-02 03:04:05Z", None)], "t string, z string")
     assert [r.instant.norm for r in normalise_instants(df, "t", "z").collect()] == [None, "2024-01-02", None, "2024-01-02T03:04:05.000000Z"]
