@@ -62,6 +62,14 @@ def test_fusion_finds_copiers(spark):
     assert golden.best_values(golden.fuse_values(df.limit(0), ["item"], "value", "source", ["good1"])[0], ["item"], "value").count() == 0
 
 
+def test_too_many_sites_are_an_error(spark, monkeypatch):
+    sites = spark.createDataFrame([(None,), ("",), *((f"S{i}",) for i in range(65))], "site_code string")
+    monkeypatch.setattr(queries, "table", lambda *_: sites)
+    monkeypatch.setattr(queries, "_claims", lambda *_: spark.createDataFrame([], "customer_id string, field_name string, value string, site_code string, valid boolean"))
+    with pytest.raises(ValueError, match="64 sources"):
+        queries.p2_fused(spark, "")
+
+
 def test_posteriors_by_hand(spark):
     df = spark.createDataFrame([("i", "a", "s"), ("i", "a", "t"), ("i", "b", "u")], "item string, value string, source string")
     post, _ = golden.fuse_values(df, ["item"], "value", "source", ["s", "t", "u"], rounds=0)
