@@ -134,6 +134,17 @@ def test_same_party():
         assert not names.same_party(names.parse_name(a), names.parse_name(b)), (a, b)
 
 
+def test_names_either_way_round_and_of_any_script():
+    same = lambda a, b: names.same_party(names.parse_name(a), names.parse_name(b))
+    assert same("Thomas Lee", "Thomsa Lee") and same("Thomsa Lee", "Thomas Lee")
+    known = ["Thomas Lee", "Thomsa Lee", "Katherine Ashcroft", "Kat Ashcrft", "Ashcroft, K", "Oakvale Grain Co", "Oakvale Grian Co", "Иван Петров", "Петров Иван", "王小明", "राम", "रमा"]
+    assert all(same(a, b) == same(b, a) for a in known for b in known)
+    assert names.parse_name("Иван Петров") == names.parse_name("Петров, Иван") != names.parse_name("Иван Сидоров")
+    assert same("Иван Петров", "Петров Иван") and names.parse_name("राम") != names.parse_name("रमा")
+    links = names._id_links(["a", "b", "c"], ["王小明", "王小明", "李小明"])[1]
+    assert set(links) == {(0, 1)}
+
+
 def test_cosines_are_exact():
     rng = random.Random(7)
     ns = [names.parse_name(" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(4, 8))) for _ in range(2))) for _ in range(80)]
