@@ -4,6 +4,7 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,43 +128,55 @@ SAME = [
 APART = [("Katherine Moss", "Edward Moss"), ("Katherine E. Moss", "Katherine F. Moss"), ("Fernside Grain Ltd", "Fernside Timber Ltd"), ("Fernside Grain Ltd", "Katherine Fernside"), ("Katherine Moss", "Katherine Vale"), ("Fernside Grain Ltd", "Fernside Grain & Sons"), ("E. Moss", "Katherine Moss"), ("Thomas Fernandside", "Thomas Fernoxside")]
 
 
+#: What a large table would teach.
+LEXICON = names.Lexicon(shares={"katherine": 0.02, "edward": 0.02, "josephine": 0.02, "jose": 0.02, "grain": 0.02}, firms=frozenset({"grain"}), persons=frozenset({"katherine", "edward", "jose", "josephine"}), aliases={"pepe": ("jose",)})
+
+
 def test_same_party():
+    same = lambda a, b: names.same_party(names.parse_name(a, LEXICON), names.parse_name(b, LEXICON), LEXICON)
     for a, b in SAME:
-        assert names.same_party(names.parse_name(a), names.parse_name(b)) and names.same_party(names.parse_name(b), names.parse_name(a)), (a, b)
-    for a, b in APART:
-        assert not names.same_party(names.parse_name(a), names.parse_name(b)), (a, b)
+        assert same(a, b) and same(b, a), (a, b)
+    for a, b in [*APART, ("Josephine Moss", "José Moss"), ("Edward M.", "Edward Moss"), ("Edward Katherine", "Ed. K."), ("Katherine Moss", "Moss Katherine Ltd")]:
+        assert not same(a, b), (a, b)
 
 
 def test_names_either_way_round_and_of_any_script():
     same = lambda a, b: names.same_party(names.parse_name(a), names.parse_name(b))
-    assert same("Thomas Lee", "Thomsa Lee") and same("Thomsa Lee", "Thomas Lee")
+    assert same("Thomas Lee", "Thomsa Lee") and same("Thomsa Lee", "Thomas Lee") and same("J. Lee", "John Lee")
     known = ["Thomas Lee", "Thomsa Lee", "Katherine Ashcroft", "Kat Ashcrft", "Ashcroft, K", "Oakvale Grain Co", "Oakvale Grian Co", "Иван Петров", "Петров Иван", "王小明", "राम", "रमा"]
     assert all(same(a, b) == same(b, a) for a in known for b in known)
     assert names.parse_name("Иван Петров") == names.parse_name("Петров, Иван") != names.parse_name("Иван Сидоров")
     assert same("Иван Петров", "Петров Иван") and names.parse_name("राम") != names.parse_name("रमा")
-    links = names._id_links(["a", "b", "c"], ["王小明", "王小明", "李小明"])[1]
-    assert set(links) == {(0, 1)}
+    assert all(names.Name.of(names.parse_name(x).key()) == names.parse_name(x) for x in known)
 
 
 def test_cosines_are_exact():
     rng = random.Random(7)
     ns = [names.parse_name(" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(4, 8))) for _ in range(2))) for _ in range(80)]
-    sets = [{g for w in n.words for g in names.grams(w)} for n in ns]
-    df = {g: sum(g in s for s in sets) for s in sets for g in s}
-    w = {g: math.log1p(len(ns) / n) ** 2 for g, n in df.items()}
-    norm = [math.sqrt(sum(w[g] for g in s)) for s in sets]
-    want = {(i, j): sum(w[g] for g in sets[i] & sets[j]) / norm[i] / norm[j] for i, j in combinations(range(len(ns)), 2)}
-    got = {(i, j): s for i, j, s in names.similar_pairs(ns, least=0.2)}
+    weights = np.random.default_rng(7).uniform(1, 40, names.GRAM_BUCKETS).astype(np.float32)
+    lexicon = names.Lexicon(weights=weights)
+    vectors = [names.vector(n) for n in ns]
+    sets = [set(v.tolist()) for v in vectors]
+    norm = [math.sqrt(sum(float(weights[g]) for g in s)) for s in sets]
+    want = {(i, j): sum(float(weights[g]) for g in sets[i] & sets[j]) / norm[i] / norm[j] for i, j in combinations(range(len(ns)), 2)}
+    got = {(i, j): s for i, j, s in names.similar_pairs(vectors, lexicon, least=0.2)}
     assert set(got) == {k for k, s in want.items() if s >= 0.2}
-    assert all(abs(want[k] - s) < 1e-4 for k, s in got.items())
+    assert all(abs(want[k] - s) < 1e-6 for k, s in got.items())
+    sides = np.array([i % 3 for i in range(80)])
+    assert {(i, j) for i, j, _ in names.similar_pairs(vectors, lexicon, sides, least=0.2)} == {(i, j) for i, j in got if i % 3 != j % 3}
+    # Partners always share one of the n-grams by which spellings are spread.
+    heavy = [set(names.heaviest(v, weights[v]).tolist()) for v in vectors]
+    assert all(heavy[i] & heavy[j] for (i, j), s in want.items() if s >= names.COSINE)
 
 
 def test_average_linkage():
     links = {(0, 1): 0.9, (1, 2): 0.9, (0, 2): 0.1, (3, 4): 0.8, (2, 3): 0.45}
-    assert names.average_linkage(6, links) == [0, 0, 0, 3, 3, 5]
+    assert names.average_linkage(6, links, 0.4) == [0, 0, 0, 3, 3, 5]
     # A chain isn't one group: its ends have nothing in common.
     chain = {(i, i + 1): 0.6 for i in range(9)}
-    assert len(set(names.average_linkage(10, chain))) > 2
+    assert len(set(names.average_linkage(10, chain, 0.4))) > 2
+    # Spellings of one id stay together, and count as many.
+    assert names.group_spellings(list("abcd"), {(1, 2): 0.6, (2, 3): 0.9}, [(0, 1)]) == [0, 0, 2, 2]
 
 
 def _people(spark, seed, districts=2, n=60):
@@ -179,35 +192,55 @@ def _people(spark, seed, districts=2, n=60):
     return spark.createDataFrame(rows, "id string, name string, district string").withColumn("party", F.lit("clash"))
 
 
-def test_large_districts_agree(spark, monkeypatch):
-    """Blocks of a few names, with and without cutting by n-grams, find the links that one block finds."""
-    df = _people(spark, 8)
-    whole = {tuple(r) for r in names.party_pairs(names.link_parties(df, "id", "name", "district")).collect()}
-    assert whole and all(a < b for a, b in whole)
-    monkeypatch.setattr(names, "BLOCK", 12)
-    for many in (8, 1):
-        monkeypatch.setattr(names, "MANY", many)
-        got = {tuple(r) for r in names.party_pairs(names.link_parties(df, "id", "name", "district")).collect()}
-        # Weights come from the block in one case and from all names in the other, so a pair near the threshold may differ.
-        assert len(got & whole) >= 0.95 * max(len(got), len(whole))
-    assert names.party_pairs(names.link_parties(df.limit(0), "id", "name", "district")).count() == 0
+def _pairs(df, **bounds):
+    return {tuple(r) for r in names.party_pairs(names.link_parties(df, "id", "name", "district", **bounds)).collect()}
 
 
-def test_links_do_not_depend_on_size(spark, monkeypatch):
-    """A district gives the very same pairs in one block, in many, and cut by n-grams, whatever other districts are there."""
+def test_links_do_not_depend_on_the_cut(spark):
+    """A table gives the very same pairs in one block, in many salted ones cut by n-grams, and grouped by district or by connected part."""
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
     rows = [("a1", "Bartholomew Ashcroft", "S0"), ("a2", "B. Ashcroft", "S0"), *[(f"f{i}", f"{word()} {word()}", "S0") for i in range(20)]]
-    rows += [(f"g{i}", f"{word()} Ashcroft", "S1") for i in range(30)]  # makes the surname common, but elsewhere
+    # The surname stands elsewhere too; weights and rarity are those of the whole table.
+    rows += [(f"g{i}", f"{word()} Ashcroft", "S1") for i in range(6)] + [(f"e{i}", f"{word()} {word()}", "S2") for i in range(700)]
     rows += [("h1", "Oak Vale Grain Co", "S0"), ("h2", "Oakvale Grain Company", "S0"), ("h3", "Oak Vaile Grain Ltd", "S0"), ("i1", "J. Li", "S0"), ("i2", "J Li", "S0"), ("i3", "Li, J", "S0")]
+    rows += [("k1", "Zyx Quorl", "S0"), ("k1", "Vutu Plimf", "S0"), ("k2", "Quorl, Zyx", "S0"), ("k3", "Plimf, V.", "S0")]  # one id under two names
     df = spark.createDataFrame(rows, "id string, name string, district string").unionByName(_people(spark, 8).drop("party"))
-    pairs = lambda x: {tuple(r) for r in names.party_pairs(names.link_parties(x, "id", "name", "district")).collect()}
-    whole = pairs(df)
-    assert ("A1", "A2") in whole and ("I1", "I2") in whole
-    monkeypatch.setattr(names, "BLOCK", 12)
-    for many in (8, 1):
-        monkeypatch.setattr(names, "MANY", many)
-        assert pairs(df) == whole
+    whole = _pairs(df)
+    assert {("A1", "A2"), ("I1", "I2"), ("K1", "K2"), ("K1", "K3"), ("K2", "K3")} <= whole and all(a < b for a, b in whole)
+    for bounds in ({"block": 12}, {"block": 4, "part": 0}, {"part": 3}):
+        assert _pairs(df, **bounds) == whole
+    assert _pairs(df.limit(0)) == set()
+
+
+def test_components(spark):
+    """Long paths in any order of their nodes, stars and pairs, against union by hand."""
+    rng = random.Random(12)
+    path = rng.sample(range(-500, 500), 200)
+    edges = list(zip(path, path[1:], strict=False)) + [(1000, 1000 + i) for i in range(50)] + [(i, i + 1) for i in range(2000, 2100)] + [(5000, 5001), (5001, 5000), (7, 7)]
+    got = {r.node: r.part for r in names.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    parts = [set(path), set(range(1000, 1050)), set(range(2000, 2101)), {5000, 5001}]
+    assert set(got) == set().union(*parts) and all(len({got[x] for x in p}) == 1 for p in parts) and len(set(got.values())) == 4
+    assert names.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_exchanged_words_are_learnt(spark):
+    """Names written with a pet form, a short form or a pet form given beforehand meet; a relative's name doesn't."""
+    rng = random.Random(13)
+    surname = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)).title()
+    given = ["Robert", "Ingrid", "Walter", "Harriet", "Douglas", "Felicity"]
+    rows, n = [], 0
+    for i in range(240):
+        last = surname()
+        for g in rng.sample(given, 2):
+            rows.append((f"p{n}", f"{g} {last}", f"D{i % 5}"))
+            if g == "Robert" and i % 3 == 0:
+                rows.append((f"q{n}", f"Bob {last}", f"D{i % 5}"))
+            n += 1
+    df = spark.createDataFrame(rows + [("x1", "Dickon Ashcombe", "D0"), ("x2", "Richard Ashcombe", "D0")], "id string, name string, district string")
+    nicknames = {"dickon": ["richard"]}
+    want = {(f"P{i[1:]}", i.upper()) for i, _, _ in rows if i.startswith("q")}
+    assert _pairs(df, nicknames=nicknames) == want | {("X1", "X2")}
 
 
 # ---- 8: tokens
