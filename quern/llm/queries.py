@@ -71,18 +71,14 @@ def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 # ---- 6: names
 
 
-def _parties(spark: SparkSession, folder: str) -> DataFrame:
-    return names.link_parties(customers(spark, folder, ["customer_id", "full_name"]), "customer_id", "full_name", "district")
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """customer_id_a, customer_id_b: pairs of ids of one district that mean the same party."""
-    return names.party_pairs(_parties(spark, folder))
+    return names.party_pairs(names.party_members(customers(spark, folder, ["customer_id", "full_name"]), "customer_id", "full_name", "district"))
 
 
 def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
     """district, id, party: each linked id with the smallest id of its party."""
-    return _parties(spark, folder)
+    return names.link_parties(customers(spark, folder, ["customer_id", "full_name"]), "customer_id", "full_name", "district")
 
 
 # ---- 8: tokens
