@@ -8,18 +8,19 @@ encoding, has no byte structure and is told by its letters (see _relettered). Lo
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Legacy encodings through which UTF-8 bytes may have been read, in the order in which they are tried.
 ENCODINGS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859_2", "cp1254", "cp866", "koi8_r", "iso8859_15"]
-#: Most rounds of decoding: text may have been garbled more than once.
-ROUNDS = 3
 _LOST = "�"
 
 
@@ -55,12 +56,10 @@ def _automaton(encoding: str) -> re.Pattern[str]:
 
 #: A sequence is two characters at least, none of them ASCII: without such neighbours there is no span.
 _NEIGHBOURS = re.compile("[^\x00-\x7f]{2}")
-#: What restored text is made of: Latin, Greek and Cyrillic letters, marks, punctuation, currency, arrows and signs, the mark of byte order.
-_PLAUSIBLE = re.compile(
-    "[\xa0-\xff\u0100-\u017f\u0192\u0218-\u021b\u02c6-\u02dd\u0300-\u0345\u0384-\u03ce\u0400-\u045f\u0490\u0491\u1e00-\u1eff\u2010-\u2027"
-    "\u2030-\u205e\u20a0-\u20bf\u2100-\u2150\u2190-\u21ff\u2200-\u22ff\u2460-\u27bf\u3000-\u30ff\u4e00-\u9fff\ufeff\ufffd\U0001f300-\U0001faff\x80-\x9f]+"
-)
-_WIDE = re.compile("[\u3000-\u30ff\u4e00-\u9fff]")
+#: Characters a span must restore to be damage by its length alone: so many well-formed sequences don't meet by chance.
+LONG = 3
+# Scripts that stand beside one another in one language's text, by the first word of their characters' names.
+_TOGETHER = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "KATAKANA-HIRAGANA": "CJK", "IDEOGRAPHIC": "CJK"}
 _QUOTES = "\"'“”„«»‘’‹›`"
 
 
@@ -75,12 +74,49 @@ def _mention(text: str, a: int, b: int, restored: str) -> bool:
     return alone and restored in "’‘﻿" and bool(before) and bool(after)
 
 
-def _believable(text: str, a: int, b: int, restored: str, encoding: str) -> bool:
-    """Whether a well-formed span is damage rather than chance: real text has such neighbours now and then."""
-    if not _PLAUSIBLE.fullmatch(restored):
+_COMMON = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
+
+
+@lru_cache(maxsize=1 << 16)
+def _script(c: str) -> str:
+    """Script of a character, by its Unicode name; empty for what all scripts share, a question mark for what isn't assigned."""
+    if c < "\u0180" and c.isalpha():
+        return "LATIN"
+    if unicodedata.category(c) in ("Cn", "Co", "Cs"):
+        return "?"
+    if _COMMON.match(c):
+        return ""
+    name = unicodedata.name(c, "?").split(" ")[0]
+    return _TOGETHER.get(name, name)
+
+
+@lru_cache(maxsize=1 << 16)
+def _accented(c: str) -> bool:
+    """Whether a letter is a Latin one with a mark, or of the Latin letters without that European languages add, or stands in the most
+    frequent legacy encoding: text garbled twice holds those."""
+    return ord(c) < 0x180 or ord(c) in _table("cp1252") or unicodedata.normalize("NFKD", c)[0].isascii()
+
+
+def _scripts(restored: str) -> set[str]:
+    return {x for c in restored if (x := _script(c))}
+
+
+def _believable(text: str, a: int, b: int, restored: str, encoding: str, known: set[str]) -> bool:
+    """Whether a well-formed span is damage rather than chance: real text has such neighbours now and then.
+
+    A span of LONG characters of one script is; a shorter one if it gives signs, Latin letters with marks, or letters of a script of
+    which the text holds a long span too (``known``), whatever script that is.
+    """
+    scripts = _scripts(restored)
+    if "?" in scripts:
         return False
     span = text[a:b]
-    if _WIDE.search(restored) and (len(restored) < 3 or span.isalpha()):
+    if len(restored) < LONG or len(scripts - {"LATIN"}) > 1:
+        if unicodedata.category(restored[0])[0] == "M" and not text[a - 1 : a].isalpha() and restored[0] != "\ufe0f":
+            return False  # a mark on nothing
+        if not scripts <= known | {"LATIN"} or not all(_accented(c) for c in restored if _script(c) == "LATIN"):
+            return False
+    if "CJK" in scripts and span.isalpha() and encoding not in ("latin-1", "cp1252"):
         return False
     if encoding == "cp850" and span.isalpha():
         return len(restored) > 3
@@ -95,12 +131,13 @@ def _believable(text: str, a: int, b: int, restored: str, encoding: str) -> bool
 
 
 def _spans(text: str, encoding: str) -> list[tuple[int, int, str]]:
-    table, out = _table(encoding), []
-    for m in _automaton(encoding).finditer(text):
-        restored = bytes(table[ord(c)] for c in m[0]).decode("utf-8")
-        if _believable(text, m.start(), m.end(), restored, encoding):
-            out.append((m.start(), m.end(), restored))
-    return out
+    table = _table(encoding)
+    met = [(m.start(), m.end(), bytes(table[ord(c)] for c in m[0]).decode("utf-8")) for m in _automaton(encoding).finditer(text)]
+    known = {"CYRILLIC", "GREEK"} if encoding in ("latin-1", "cp1252") else set()
+    for _, _, restored in met:
+        if len(restored) >= LONG and len(x := _scripts(restored)) == 1:
+            known |= x
+    return [x for x in met if _believable(text, *x, encoding, known)]
 
 
 def _once(text: str) -> tuple[str, int]:
@@ -215,39 +252,48 @@ def relettered(text: str) -> tuple[str, int]:
 _TIDIED = re.compile("(?<=[a-z\xe0-\xff])\xc3 |(?<= )\xc3  ")
 
 
-def restore(text: str | None) -> tuple[str | None, int, int]:
-    """The restored text, the number of spans and segments restored, and the number of characters lost for good.
+class Restored(NamedTuple):
+    """text; spans: places decoded by the automaton; relettered: segments put right by their letters; lost: characters lost for good."""
+
+    text: str | None
+    spans: int = 0
+    relettered: int = 0
+    lost: int = 0
+
+
+def restore(text: str | None) -> Restored:
+    """The restored text and what was done to it.
 
-    Null and empty texts come back as they are. Text that only speaks of garbled signs is left alone.
+    Null and empty texts come back as they are. Text that only speaks of garbled signs is left alone. Text garbled several times is
+    decoded as often: each round makes it shorter, so there is a last one.
     """
     if not text or text.isascii():
-        return text, 0, 0
+        return Restored(text)
     spans = 0
-    for _ in range(2 * ROUNDS):
+    while True:
         text, n = _once(text)
         if not n:
             break
         spans += n
     text, tidied = _TIDIED.subn(lambda m: "à" + m[0][2:], text)
     text, n = relettered(text)
-    n += tidied
     lost = sum(1 for m in re.finditer(_LOST, text) if not _mention(text, m.start(), m.end(), _LOST))
-    return text, spans + n, lost
+    return Restored(text, spans, n + tidied, lost)
 
 
 def _restore_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [restore(x) for x in batch.column("_text").to_pylist()]
         keys = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())]
-        yield pa.RecordBatch.from_arrays([*(c for _, c in keys), *columns], names=[*(n for n, _ in keys), "restored", "spans", "lost"])
+        columns = [pa.array([r[i] for r in rows], f) for i, f in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(c for _, c in keys), *columns], names=[*(n for n, _ in keys), "restored", "spans", "relettered", "lost"])
 
 
 def restore_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` with restored (text), spans (number of places put right) and lost (characters that can't be restored).
+    """``keep`` with restored (text), spans, relettered (see Restored) and lost (characters that can't be restored).
 
-    Every row comes back, whatever its text; no rows are exchanged. A text is garbled if spans or lost isn't 0.
+    Every row comes back, whatever its text; no rows are exchanged. A text is garbled if one of the three numbers isn't 0.
     """
     src = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    extra = [T.StructField("restored", T.StringType()), T.StructField("spans", T.IntegerType()), T.StructField("lost", T.IntegerType())]
+    extra = [T.StructField("restored", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("spans", "relettered", "lost"))]
     return src.mapInArrow(_restore_batches, T.StructType([*(f for f in src.schema.fields if f.name != "_text"), *extra]))

@@ -116,7 +116,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id of each document that holds garbled text."""
-    return garbled.restore_texts(table(spark, folder, "documents"), "text", ["doc_id"]).where("spans + lost > 0").select("doc_id")
+    return garbled.restore_texts(table(spark, folder, "documents"), "text", ["doc_id"]).where("spans + relettered + lost > 0").select("doc_id")
 
 
 def p10_restored(spark: SparkSession, folder: str) -> DataFrame:

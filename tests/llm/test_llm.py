@@ -362,8 +362,8 @@ CLEAN = ["Die Lieferung für Müller war überfällig – „später“.", "L’
 def test_round_trip(text, encoding):
     """What UTF-8 bytes become through a legacy encoding comes back, once and twice garbled, alone or inside clean text."""
     wrong = "".join(chr(b) if e is None else e for b in text.encode() for e in [_char(b, encoding)])
-    got, spans, lost = garbled.restore(wrong)
-    assert (got, lost) == (text, 0) and spans > 0
+    got = garbled.restore(wrong)
+    assert (got.text, got.lost) == (text, 0) and got.spans > 0
     assert garbled.restore(f"All fine here. {wrong}")[0] == f"All fine here. {text}"
 
 
@@ -374,19 +374,34 @@ def _char(b, encoding):
         return None
 
 
-def test_twice():
-    wrong = CLEAN[0].encode().decode("latin-1").encode().decode("latin-1")
-    assert garbled.restore(wrong)[0] == CLEAN[0]
+@pytest.mark.parametrize("times", [2, 3, 7, 12])
+def test_several_times(times):
+    wrong = CLEAN[0]
+    for _ in range(times):
+        wrong = wrong.encode().decode("latin-1")
+    assert garbled.restore(wrong).text == CLEAN[0]
 
 
-@pytest.mark.parametrize("text", [*CLEAN, "", None, "plain", "SÃO NECESSÁRIAS ASSINATURAS, CORREÇÃO", "prints “Ã©” wherever the form has “é”", "a heading shows â€™ in the preview", "the three characters ï»¿ at the start", "«РФ», СССР» и «США»", "café naïve", "Ångström ÄÖÜ", "x" * 200_000])
+#: Scripts of many kinds; the operator knows none of them by name.
+SCRIPTS = ["שלום עולם, זה לא תקין", "مرحبا بالعالم في هذا النص", "สวัสดีชาวโลก ข้อความนี้", "Բարեւ աշխարհ այս տեքստը", "नमस्ते दुनिया यह पाठ", "안녕하세요 세계 이 글은", "გამარჯობა მსოფლიო", "これは日本語の文章です。", "Γειά σου κόσμε, και πάλι", "ሰላም ለዓለም"]
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_any_script(text, encoding):
+    wrong = "".join(chr(b) if e is None else e for b in text.encode() for e in [_char(b, encoding)])
+    assert garbled.restore(wrong).text == text and garbled.restore(text) == (text, 0, 0, 0)
+    assert garbled.restore(f"note: {wrong} (end)").text == f"note: {text} (end)"
+
+
+@pytest.mark.parametrize("text", [*CLEAN, "", None, "plain", "SÃO NECESSÁRIAS ASSINATURAS, CORREÇÃO", "prints “Ã©” wherever the form has “é”", "a heading shows â€™ in the preview", "the three characters ï»¿ at the start", "«РФ», СССР» и «США»", "«École» et “Été” — à l’étranger", "café naïve", "Ångström ÄÖÜ", "x" * 200_000])
 def test_left_alone(text):
-    assert garbled.restore(text) == (text, 0, 0)
+    assert garbled.restore(text) == (text, 0, 0, 0)
 
 
 def test_other_damage():
     assert garbled.restore("Çàãîëîâîê íå îòíîñèòñÿ íè ê îäíîìó ïîëþ.")[0] == "Заголовок не относится ни к одному полю."
-    assert garbled.restore("For the record � 5 rows")[2] == 1
+    assert garbled.restore("For the record � 5 rows").lost == 1
     assert garbled.restore("corrigÈ la ligne aprËs avoir relu")[0] == "corrigé la ligne après avoir relu"
 
 
