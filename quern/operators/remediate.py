@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,8 +84,7 @@ def apply_corrections(rows: DataFrame, exceptions: DataFrame, config: Config, co
     met = met.withColumn("_ids", ids).withColumn("_set", pinned(merged))
     own = [c for c in rows.columns if c not in ("_source_file", "_row")]
     joined = met.join(rows, (F.col("file") == F.col("_source_file")) & (F.col("row") == F.col("_row")), "left")
-    counted = met.join(rows.select(F.col("_source_file").alias("_f"), F.col("_row").alias("_r")), (F.col("file") == F.col("_f")) & (F.col("row") == F.col("_r")), "left").groupBy("file", "row").agg(F.count("_r").alias("_found"))
-    joined = joined.join(counted.withColumnsRenamed({"file": "_f2", "row": "_r2"}), (F.col("file") == F.col("_f2")) & (F.col("row") == F.col("_r2"))).drop("_f2", "_r2")
+    joined = joined.withColumn("_found", F.count("_row").over(Window.partitionBy("file", "row")))
     fields = {f.name: f for f in config.fields}
     value = lambda n: F.try_element_at("_set", F.lit(n))
     given = lambda n: F.map_contains_key("_set", n)

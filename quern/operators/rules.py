@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quern.config import Config, Field, Rule, parse_bound
 from quern.functions.coerce import TYPES, coerce, failed
 from quern.functions.pytext import py_text
-from quern.functions.text import pinned
+from quern.functions.text import clean, pinned
 
 RECORD = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("column", "value", "kind", "severity", "reason"))])
 _VIOLATION = "struct<column:string,value:string,kind:string,severity:string,reason:string>"
@@ -80,6 +80,25 @@ def coerced(config: Config, headings: dict[str, str], pin: bool = True) -> tuple
     return columns, pinned(array) if pin else array
 
 
+def typed(frame: DataFrame, config: Config, headings: dict[str, str], keep: list[str]) -> DataFrame:
+    """``keep``, the typed fields, and _v: the cells that don't read. As coerced, with each cell cleaned and read once, in stages.
+
+    ``headings``: source column by field; a field without one is null throughout.
+    """
+    have = [(i, f, headings[f.name]) for i, f in enumerate(config.fields) if headings.get(f.name) is not None]
+    raw = [F.col(f"`{c}`").cast("string") for _, _, c in have]
+    cells = frame.select(*keep, *[r.alias(f"_raw{i}") for r, (i, _, _) in zip(raw, have, strict=True)], *[pinned(clean(r)).alias(f"_cell{i}") for r, (i, _, _) in zip(raw, have, strict=True)])
+    read = {f.name: pinned(coerce(F.col(f"_cell{i}"), f.type, cleaned=True)) if f.type != "string" else F.col(f"_cell{i}") for i, f, _ in have}
+    fields = [read.get(f.name, F.lit(None).cast(TYPES[f.type])).alias(f.name) for f in config.fields]
+    staged = cells.select(*keep, *fields, *[c for i, _, _ in have for c in (f"_raw{i}", f"_cell{i}")])
+    bad = [
+        violation(F.col(f"_cell{i}").isNotNull() & F.col(f"`{f.name}`").isNull(), source, F.col(f"_raw{i}"), "coercion", "error", f"cannot coerce to {f.type} for field '{f.name}'")
+        for i, f, source in have if f.type != "string"
+    ]
+    array = F.array_compact(F.array(*bad)) if bad else F.array().cast(f"array<{_VIOLATION}>")
+    return staged.select(*keep, *[F.col(f"`{f.name}`") for f in config.fields], pinned(array).alias("_v"))
+
+
 def blocked(array: Column) -> Column:
     """Whether a row's array holds an error."""
     return F.exists(array, lambda v: v["severity"] == "error")

@@ -13,7 +13,8 @@ from quern.functions.coerce import coerce, failed
 from quern.functions.text import clean, normalise_heading
 from quern.operators import metrics, profiling, remediate, rules
 from quern.operators.reconcile import reconcile
-from quern.sources.tables import table
+from quern.session import cut_lineage
+from quern.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,7 +67,7 @@ HEADINGS = {f.name: f.name for f in CONFIG.fields}
 
 
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    o = spread(table(spark, folder, "orders")).withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
     return o.selectExpr(
         "concat('part_', o_orderkey % 4, '.csv') as _source_file", "o_orderkey as _row", "case when o_orderkey % 97 = 0 then ' ' else concat('O-', o_orderkey) end as id",
         """case o_orderkey % 7 when 0 then concat(cents div 100, '.', lpad(cast(cents % 100 as string), 2, '0'))
@@ -80,8 +81,7 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def checked_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Coerced and validated in one pass: _v holds what is wrong with each row."""
-    columns, bad = rules.coerced(CONFIG, HEADINGS)
-    return rules.validate(raw_orders(spark, folder).select("_source_file", "_row", *columns, bad.alias("_v")), CONFIG)
+    return rules.validate(rules.typed(raw_orders(spark, folder), CONFIG, HEADINGS, ["_source_file", "_row"]), CONFIG)
 
 
 # ---- coercion
@@ -300,28 +300,40 @@ from t join fixable f on f.file = t._source_file and f.row = t._row)"""
 
 @query(f"{_FIXED} select _source_file, _row, id, amount, cast(day as varchar) as day, active from fixed where all_read and not (fix_amount and _row % 5 = 0) and id is not null and (day is null or day >= date '1993-01-01') and regexp_full_match(status, '[OF]')")
 def apply_corrections(spark: SparkSession, folder: str) -> DataFrame:
-    checked = checked_orders(spark, folder)
+    checked = cut_lineage(checked_orders(spark, folder))  # read four times below
     records = rules.records(checked)
     frame, _ = remediate.apply_corrections(checked.drop("_v"), records, CONFIG, _corrections(records))
     return frame.select("_source_file", "_row", "id", "amount", F.col("day").cast("string").alias("day"), "active")
 
 
-@query()
+_GOOD = "select * from fixed where all_read and not (fix_amount and _row % 5 = 0) and id is not null and (day is null or day >= date '1993-01-01') and regexp_full_match(status, '[OF]')"
+
+
+@query(f"""{_FIXED}, good as ({_GOOD}) select kind, severity, count(*) as n from (
+select kind, severity from r where not (severity = 'error' and exists (select 1 from good where good._source_file = r.file and good._row = r.row))
+union all select 'remediated', 'warning' from good
+union all select 'rule_range', 'warning' from good where amount < 0 or amount > 400000
+union all select 'rule_allowed_values', 'warning' from good where priority not in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
+union all select 'remediation_failed', 'error' from fixed where not exists (select 1 from good where good._source_file = fixed._source_file and good._row = fixed._row)) group by kind, severity""")
 def remediation_records(spark: SparkSession, folder: str) -> DataFrame:
     """All records after remediation, by kind and severity."""
-    checked = checked_orders(spark, folder)
+    checked = cut_lineage(checked_orders(spark, folder))
     records = rules.records(checked)
     return remediate.apply_corrections(checked.drop("_v"), records, CONFIG, _corrections(records))[1].groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{_CHECKED}, log as ({_LOG}), last as (select id, action, note from (select *, row_number() over (partition by id order by line desc) as rn from log) where rn = 1)
-select r.file, r.row, r."column", r.kind, action, note from r left join last on last.id = 'u' || (r.row % 70)""")
+_ID = "substr(sha256(file || '|' || row || '|' || \"column\" || '|' || coalesce(value, '') || '|' || kind || '|' || reason), 1, 16)"
+
+
+@query(f"""{_CHECKED}, n as (select *, row % 3 = 0 or row % 7 = 0 as logged from r) select file, row, "column", kind, {_ID} as id, case when logged then case when row % 7 = 0 then 'reopened' else 'corrected' end end as action,
+case when logged then case when row % 7 = 0 then 'second' else 'first' end end as note, "column" as target_field from n""")
 def exceptions_left_resolutions(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record with its latest resolution, if any."""
-    log = table(spark, folder, "events").selectExpr("event_id as line", "concat('u', user_id % 50) as id", "event_type as action", "concat('n', event_id) as note")
-    latest = remediate.latest_resolutions(log)
-    r = rules.records(checked_orders(spark, folder)).withColumn("_id", F.concat(F.lit("u"), F.col("row") % 70))
-    return r.join(latest.select("id", "action", "note"), F.col("_id") == F.col("id"), "left").select("file", "row", "column", "kind", "action", "note")
+    """Every record with its latest resolution, if any, and the field a correction would set."""
+    records = rules.records(cut_lineage(checked_orders(spark, folder)))
+    own = records.withColumn("id", remediate.fingerprint())
+    entry = lambda line, action, note: (F.lit(line).alias("line"), "id", F.lit(action).alias("action"), F.lit(note).alias("note"))
+    log = own.where("row % 3 = 0").select(*entry(1, "corrected", "first")).unionByName(own.where("row % 7 = 0").select(*entry(2, "reopened", "second")))
+    return remediate.with_resolutions(records, remediate.latest_resolutions(log), CONFIG).select("file", "row", "column", "kind", "id", "action", "note", "target_field")
 
 
 # ---- metrics
@@ -397,15 +409,28 @@ def profile_classes(spark: SparkSession, folder: str) -> DataFrame:
     return profiling.class_counts(raw_orders(spark, folder), ["amount", "day", "active"])
 
 
-@query("select * from (values ('k', (select count(*) from part), 'integer'), ('price', (select count(*) from part), 'float'), ('brand', (select count(*) from part), 'string')) v(column_name, non_empty, inferred_type)")
+_DATES = "case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%d/%m/%Y') end"
+
+
+@query(f"""with c as (select 'k' as column_name, o_orderkey::varchar as x from orders union all select 'price', o_orderkey || '.5' from orders union all select 'priority', o_orderpriority from orders
+union all select 'flag', case o_orderkey % 3 when 0 then 'Yes' when 1 then 'no' else '' end from orders union all select 'day', {_DATES} from orders union all select 'mixed', case when o_orderkey % 2 = 0 then 'yes' else '7' end from orders),
+k as (select column_name, {_CLASS} as class from c where x <> '')
+select column_name, count(*) as non_empty, case when bool_and(class = 'integer') then 'integer' when bool_and(class in ('integer', 'float', 'thousands')) then 'float' when bool_and(class = 'boolean') then 'boolean' when bool_and(class like 'date:%') then 'date' else 'string' end as inferred_type from k group by column_name""")
 def profile_infer(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part").selectExpr("cast(p_partkey as string) as k", "concat(p_partkey, '.5') as price", "p_brand as brand")
-    return profiling.inferred_types(profiling.class_counts(p, ["k", "price", "brand"]))
+    p = spread(table(spark, folder, "orders")).selectExpr(
+        "cast(o_orderkey as string) as k", "concat(o_orderkey, '.5') as price", "o_orderpriority as priority", "case o_orderkey % 3 when 0 then 'Yes' when 1 then 'no' else '' end as flag",
+        "case when o_orderkey % 2 = 0 then date_format(o_orderdate, 'yyyy-MM-dd') else date_format(o_orderdate, 'dd/MM/yyyy') end as day", "case when o_orderkey % 2 = 0 then 'yes' else '7' end as mixed",
+    )
+    return profiling.inferred_types(profiling.class_counts(p, p.columns))
+
+
+_TYPED_TEXTS = ["full_name", "email", "signup_date", "lifetime_value", "active"]
+_EDGES = "' ' || chr(9) || chr(10) || chr(13)"
 
 
-@query("select 'active' as column_name, lower(v) as value, count(distinct v) as variants from (select nullif(trim(active), '') as v from customers_north) where v is not null group by lower(v) having count(distinct v) > 1")
+@query("select column_name, lower(v) as value, count(distinct v) as variants from (" + " union all ".join(f"select '{c}' as column_name, nullif(trim({c}, {_EDGES}), '') as v from customers_north" for c in _TYPED_TEXTS) + ") where v is not null group by column_name, lower(v) having count(distinct v) > 1")
 def profile_case_variants(spark: SparkSession, folder: str) -> DataFrame:
-    return profiling.case_variants(table(spark, folder, "customers_north"), ["active"])
+    return profiling.case_variants(table(spark, folder, "customers_north"), _TYPED_TEXTS)
 
 
 @query("select n_nationkey as key, n_name as name, 'nation' as source from nation union all select r_regionkey, r_name, 'region' from region union all select s_suppkey, s_name, 'supplier' from supplier")

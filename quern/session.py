@@ -24,10 +24,13 @@ def local_session(cpus: int | None = None, name: str = "quern", memory: str = "8
 def cut_lineage(df):
     """``df`` written to the checkpoint folder and read from there.
 
-    The folder is that of ``spark.checkpoint.dir``, shared by all executors. Only where neither it nor a folder set before exists,
-    as in tests on one machine, a temporary one is set.
+    The folder is that of ``spark.checkpoint.dir``, shared by all executors. Where neither it nor a folder set before exists, a session on
+    one machine, as in tests, gets a temporary one; on a cluster that is an error, as executors don't share such a folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint(eager=True)
