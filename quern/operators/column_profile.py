@@ -40,8 +40,8 @@ class ColumnSpec:
 
 
 def _power(number: Column, p: int) -> Column:
-    """The p-th power in units of 10**-POWER_DIGITS, exact; null if the number leaves 19 digits or the power 38."""
-    k = F.round(number * 10**POWER_DIGITS).try_cast("decimal(19,0)").cast("decimal(38,0)")
+    """The p-th power in units of 10**-POWER_DIGITS, exact; null if the number has more decimals or leaves 19 digits, or the power 38."""
+    k = F.when(F.round(number, POWER_DIGITS) == number, F.round(number * 10**POWER_DIGITS).try_cast("decimal(19,0)")).cast("decimal(38,0)")
     return reduce(F.try_multiply, [k] * p).cast("decimal(38,0)")
 
 
@@ -50,7 +50,8 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
 
     load, column_name, rows, non_empty, valid, completeness_pct, validity_pct (null where validity isn't checked), trues (booleans),
     min_number, max_number, s1 to s4 (exact power sums of the valid numbers in units of 10**-POWER_DIGITS; null where a column has no
-    numbers, or the sum or any number's power leaves 38 digits, so that none stands for a part of the numbers), numbers; with
+    numbers, or the sum or any number's power leaves 38 digits, or a number has more decimals than POWER_DIGITS, so that none stands for a
+    part of the numbers or for rounded ones), numbers; with
     ``moments`` mean, variance and skewness of the numbers as doubles; with ``distinct`` distinct_values, min_text and max_text; with
     ``types`` inferred_type. A load of which every cell of a column is blank still has a row for it; an empty table gives none. A null load
     is a load of its own.
@@ -71,7 +72,7 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
             wide.append(F.count_if(F.col(f"x{i}")).alias(f"t{i}"))
         if c.kind in ("integer", "float"):
             number = F.col(f"x{i}")
-            wide += [F.min(number).alias(f"nlo{i}"), F.max(number).alias(f"nhi{i}"), F.count(number).alias(f"nn{i}")]
+            wide += [F.min(number).alias(f"nlo{i}"), F.max(number).alias(f"nhi{i}"), F.count(number).alias(f"nn{i}"), F.count(_power(number, 1)).alias(f"ne{i}")]
             wide += [F.try_sum(_power(number, p)).alias(f"s{p}_{i}") for p in (1, 2, 3, 4)]
             if moments:
                 wide += [F.avg(number).alias(f"mean{i}"), F.var_pop(number).alias(f"var{i}"), F.skewness(number).alias(f"skew{i}")]
@@ -86,8 +87,9 @@ def profile_columns(df: DataFrame, load: str, columns: list[ColumnSpec], types:
         null = lambda t: F.lit(None).cast(t)
         n = F.col(f"n{i}")
         number = c.kind in ("integer", "float")
-        # try_sum leaves out powers that are null. Powers grow with the size of a number, so all are there if those of both ends are.
-        whole = lambda p: _power(F.col(f"nlo{i}"), p).isNotNull() & _power(F.col(f"nhi{i}"), p).isNotNull()
+        # try_sum leaves out powers that are null. All numbers have a first power if their count says so; higher ones grow with the size of a
+        # number, so all are there if those of both ends are.
+        whole = lambda p: (F.col(f"ne{i}") == F.col(f"nn{i}")) & _power(F.col(f"nlo{i}"), p).isNotNull() & _power(F.col(f"nhi{i}"), p).isNotNull()
         fields = [
             F.lit(c.name).alias("column_name"),
             n.alias("non_empty"),

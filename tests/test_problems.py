@@ -84,6 +84,20 @@ def test_shifts(spark):
     assert got["c"].shift > 3
 
 
+def test_no_decimal_is_rounded_away(spark):
+    """Numbers with more decimals than the sums hold make them null; mean and shift then come from the moments."""
+    loads = {"a": [0.001, 0.002], "b": [1.25, 1.5, 1.0], "c": [1e30, 5.0], "d": [1.0, 2.0, 1e11]}
+    df = spark.createDataFrame([(k, repr(x)) for k, xs in loads.items() for x in xs], "load string, v string")
+    p = cp.profile_columns(df, "load", [cp.ColumnSpec("v", "float")], moments=True)
+    got = {r.load: r for r in p.collect()}
+    assert (got["a"].s1, got["a"].numbers, got["b"].s1, got["c"].s1) == (None, 2, 375, None)
+    assert got["d"].s1 == 10**13 + 300 and got["d"].s3 is None and got["d"].s4 is None
+    shifts = {r.load: r for r in cp.standardised_shifts(p, "load").collect()}
+    for k, xs in loads.items():
+        rest = [x for j, ys in loads.items() if j != k for x in ys]
+        assert shifts[k].mean == pytest.approx(statistics.fmean(xs), rel=1e-9) and shifts[k].mean_of_others == pytest.approx(statistics.fmean(rest), rel=1e-9)
+
+
 def test_huge_values_are_not_left_out(spark):
     """A sum that can't hold one of its numbers is null, and shifts count the number all the same."""
     loads = {"a": [1.0, 2.0, 1e8, 1e18], "b": [1.0, 2.0, 3.0], "c": [2.0, 3.0, 7.0], "d": [1e18, 2e18], "e": [1e12, 1.0, 2.0]}
