@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import cut_lineage
+
 #: Rounds of estimating accuracies and posteriors in turn.
 ROUNDS = 3
 #: Accuracy that a source is given before anything is known of it, and the bounds that estimates keep within.
@@ -50,7 +52,7 @@ def fuse_values(claims: DataFrame, item: list[str], value: str, source: str, sou
     if len(sources) > 64:
         raise ValueError("more than 64 sources: group them first")
     names = sorted(sources)
-    votes = claims.where(F.col(value).isNotNull() & F.col(source).isin(names)).groupBy(*item, value).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+    votes = cut_lineage(claims.where(F.col(value).isNotNull() & F.col(source).isin(names)).groupBy(*item, value).agg(F.array_sort(F.collect_set(source)).alias("sources")))  # read in every round
     spark = claims.sparkSession
     accuracy = dict.fromkeys(names, FIRST_ACCURACY)
     copied: dict[tuple[str, str], float] = {}

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quern.functions.coerce import coerce
 from quern.functions.text import clean, strip
 from quern.llm import canonical, garbled, golden, mixing, names
-from quern.llm.tokenize import encode_texts
+from quern.llm.tokenize import decode_ids, encode_texts
 from quern.operators.column_profile import EMAIL
 from quern.plans.customer_tables import customers
+from quern.session import cut_lineage
 from quern.sources.tables import table
 
 # ---- 2: best representative
@@ -89,16 +90,18 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and text of each document, encoded and decoded again; null texts come back empty."""
+    return decode_ids(p8_ids(spark, folder), "ids", ["doc_id"])
+
+
 # ---- 9: mixing
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, list[mixing.Plan]]:
-    from quern.session import cut_lineage
-
     sized = cut_lineage(encode_texts(table(spark, folder, "documents"), "text", ["doc_id", "source"], count_only=True))
     plans = mixing.plan_mix(mixing.source_totals(sized, "source", "n_tokens"), mixing.weights_of(table(spark, folder, "source_weights")))
-    rounded = cut_lineage(mixing.round_copies(sized, plans, "doc_id", "source", "n_tokens"))
-    return mixing.settle(rounded, plans), plans
+    return cut_lineage(mixing.round_copies(sized, plans, "doc_id", "source", "n_tokens")), plans
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +129,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_fused, p2_sources, p4_found, p4_unmatched, p6_found, p6_parties, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p2_found, p2_fused, p2_sources, p4_found, p4_unmatched, p6_found, p6_parties, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _TRIM = "nullif(trim({c}, ' ' || chr(9) || chr(10) || chr(13)), '')"
@@ -142,4 +145,5 @@ f as (select id, 'email' as field_name, rec_id, site_code, updated_at from r whe
     when regexp_full_match(v, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') then try_cast(v as double) end as x from r) where x >= 0),
 o as (select f.*, row_number() over (partition by f.id, field_name order by trust_rank nulls last, updated_at desc nulls last, rec_id) as k from f join n using (id) left join sites using (site_code))
 select id as customer_id, field_name, rec_id from o where k = 1""",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }

@@ -52,11 +52,13 @@ class Merges:
         with open(file, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def encode(self, data: bytes) -> list[bytes]:
-        """The tokens of ``data``: of all adjacent pairs that make a token, that of the lowest rank is merged first, the leftmost first."""
-        whole = data if data in self.ranks else None
-        if whole is not None:
-            return [whole]
+    def encode(self, data: bytes, whole: bool = True) -> list[bytes]:
+        """The tokens of ``data``: of all adjacent pairs that make a token, that of the lowest rank is merged first, the leftmost first.
+
+        ``whole``: it is a whole piece, which is one token if the vocabulary has it, even if no merge makes it.
+        """
+        if whole and data in self.ranks:
+            return [data]
         parts = [data[i : i + 1] for i in range(len(data))]
         if len(parts) > 64:
             return self._encode_long(parts)
@@ -149,20 +151,20 @@ class Transducer:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that arrives in chunks. A token goes out once ``lookahead`` bytes stand behind it."""
-        held = b""
+        held, started = b"", False
         ranks = self.merges.ranks
         for chunk in chunks:
             held += chunk
             if len(held) < self.window + self.lookahead:
                 continue
             sure, start = len(held) - self.lookahead, 0
-            for token in self.merges.encode(held):
+            for token in self.merges.encode(held, whole=False):
                 if start + len(token) > sure:
                     break
                 yield ranks[token]
                 start += len(token)
-            held = held[start:]
-        for token in self.merges.encode(held) if held else ():
+            held, started = held[start:], started or start > 0
+        for token in self.merges.encode(held, whole=not started) if held else ():
             yield ranks[token]
 
     def _piece(self, piece: str) -> list[int]:
@@ -237,6 +239,12 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
+@lru_cache(maxsize=4)
+def decoder(file: str) -> Decoder:
+    """One for each worker and vocabulary."""
+    return Decoder(Merges.load(file))
+
+
 @lru_cache(maxsize=4)
 def transducer(file: str) -> Transducer:
     """One for each worker and vocabulary."""
@@ -261,3 +269,19 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], file: str | None = N
     src = df.select(*keep, F.col(text).cast("string").alias("_text"))
     extra = T.StructField("n_tokens", T.LongType()) if count_only else T.StructField("ids", T.ArrayType(T.IntegerType()))
     return src.mapInArrow(lambda it: _encode_batches(it, file, count_only), T.StructType([*(f for f in src.schema.fields if f.name != "_text"), extra]))
+
+
+def _decode_batches(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
+    d = decoder(file)
+    for batch in batches:
+        texts = [d.decode(i for i in ids or () if i is not None) for ids in batch.column("_ids").to_pylist()]
+        keys = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_ids"]
+        yield pa.RecordBatch.from_arrays([*(c for _, c in keys), pa.array(texts, pa.string())], names=[*(n for n, _ in keys), "text"])
+
+
+def decode_ids(df: DataFrame, ids: str, keep: list[str], file: str | None = None) -> DataFrame:
+    """``keep`` and text, of the lists of ids in ``ids``. Null and empty lists give an empty text, null ids nothing; an id that the vocabulary
+    doesn't have is an error. Every row is kept; nothing is exchanged."""
+    file = file or tokenizer_file()
+    src = df.select(*keep, F.col(ids).cast("array<int>").alias("_ids"))
+    return src.mapInArrow(lambda it: _decode_batches(it, file), T.StructType([*(f for f in src.schema.fields if f.name != "_ids"), T.StructField("text", T.StringType())]))

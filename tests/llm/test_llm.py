@@ -298,6 +298,16 @@ def test_encode_texts(spark):
     assert tok.encode_texts(df.limit(0), "text", ["i"]).count() == 0
 
 
+def test_decode_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [31373, 23748]), (4, [31373, None])], "text int, n array<int>")
+    got = tok.decode_ids(df.withColumn("i", F.col("text")), "n", ["i"]).orderBy("i").collect()
+    assert [r.text for r in got] == ["", "", "hello hello", "hello"]
+    odd = spark.createDataFrame([(x,) for x in texts(spark)], "text string").withColumn("i", F.monotonically_increasing_id()).persist()
+    back = tok.decode_ids(tok.encode_texts(odd, "text", ["i"]), "ids", ["i"])
+    assert odd.join(back.withColumnRenamed("text", "again"), "i").where("coalesce(text, '') <> again").count() == 0 and back.count() == odd.count()
+    assert tok.decode_ids(df.limit(0), "n", []).count() == 0
+
+
 # ---- 9: mixing
 
 
