@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import signal
+import subprocess
 import sys
 from pathlib import Path
 
@@ -31,7 +34,7 @@ def _run(a: argparse.Namespace) -> int:
     print(json.dumps(result.totals))
     if a.assist and result.unmapped_samples:
         try:
-            assist.write_review(assist.propose(result.unmapped_samples, config), root / REVIEW)
+            assist.propose(result.unmapped_samples, config).save(root / REVIEW)
             print(f"proposals written to {root / REVIEW}")
         except assist.AssistError as exc:
             print(exc, file=sys.stderr)
@@ -64,12 +67,12 @@ def _profile(a: argparse.Namespace) -> int:
 
 def _review(a: argparse.Namespace) -> int:
     path = a.config.resolve().parent / REVIEW
-    review = assist.load_review(path)
-    for p in review["proposals"]:
-        if p.get("status", "pending") == "pending" and (a.accept_all or a.reject_all):
-            p["status"] = "accepted" if a.accept_all else "rejected"
-        print(f"{p.get('status', 'pending')}: {p['column']} -> {p.get('target')} ({p.get('confidence')})")
-    assist.write_review(review, path)
+    review = assist.Review.load(path)
+    if a.accept_all or a.reject_all:
+        review.decide("accepted" if a.accept_all else "rejected")
+        review.save(path)
+    for s in review.suggestions:
+        print(f"{s.status}: {s.column} -> {s.target} ({s.confidence:g})")
     return 0
 
 
@@ -98,12 +101,39 @@ def _schedule(a: argparse.Namespace) -> int:
     cron = scheduler.Cron.parse(a.expression) if a.expression else scheduler.read_schedule(root)
     if a.expression:
         scheduler.write_schedule(root, cron)
-    print(scheduler.cron_line(root, cron))
+    print(cron.line(root))
     return 0
 
 
 def _daemon(a: argparse.Namespace) -> int:
-    scheduler.loop(a.config.resolve().parent, lambda: _run(argparse.Namespace(config=a.config, assist=False)))
+    """run: the loop itself; start, stop and status: of a loop in the background; unit: a systemd service for it."""
+    root = a.config.resolve().parent
+    pid = scheduler.running(root)
+    if a.action == "status":
+        print(f"running as process {pid}" if pid else "not running")
+        return 0 if pid else 3
+    if a.action == "unit":
+        print(scheduler.unit(root, sys.executable), end="")
+        return 0
+    if a.action == "stop":
+        if pid:
+            os.kill(pid, signal.SIGTERM)
+        print(f"process {pid} was told to stop" if pid else "not running")
+        return 0 if pid else 3
+    if a.action == "start":
+        if pid:
+            raise scheduler.SchedulerError(f"process {pid} runs this project already")
+        scheduler.read_schedule(root)  # a loop without one would end at once
+        command = [sys.executable, "-m", "quern", "daemon", "run", "--config", str(a.config.resolve()), *(["--webhook", a.webhook] if a.webhook else [])]
+        with (root / "quern-daemon.log").open("a", encoding="utf-8") as log:
+            child = subprocess.Popen(command, cwd=root, stdout=log, stderr=log, stdin=subprocess.DEVNULL, start_new_session=True)
+        print(f"started as process {child.pid}")
+        return 0
+    held = scheduler.claim(root)
+    try:
+        scheduler.loop(root, lambda: _run(argparse.Namespace(config=a.config, assist=False)), webhook=a.webhook)
+    finally:
+        held.unlink(missing_ok=True)
     return 0
 
 
@@ -156,7 +186,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--force", action="store_true")
     add("schedule", _schedule).add_argument("expression", nargs="?")
-    add("daemon", _daemon)
+    c = add("daemon", _daemon)
+    c.add_argument("action", nargs="?", default="run", choices=["run", "start", "stop", "status", "unit"])
+    c.add_argument("--webhook")
     c = add("report", _report)
     c.add_argument("--run")
     c.add_argument("--output", type=Path, default=Path("report.html"))

@@ -3,7 +3,7 @@
 import json
 import sqlite3
 import urllib.error
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 import yaml
@@ -197,16 +197,49 @@ def test_assist(tmp_path, monkeypatch):
     monkeypatch.setenv(assist.KEY_ENV, "k")
     monkeypatch.setattr(assist, "post_json", lambda url, h, body, t: shown.append(body) or {"choices": [{"message": {"content": answer}}]})
     review = assist.propose({"Buyer": ["Ann 12"], "Ref": []}, c)
-    assert [(p["column"], p["target"], p["confidence"], p["samples"]) for p in review["proposals"]] == [("Buyer", "full_name", 100.0, ["Ann ##"])]
+    assert [(p.column, p.target, p.confidence, p.samples) for p in review.suggestions] == [("Buyer", "full_name", 100.0, ["Ann ##"])]
     assert "Ann 12" not in json.dumps(shown)
     path = tmp_path / "r.yaml"
-    assist.write_review(review, path)
-    assert assist.accepted_mappings(path, c) == {}
-    review["proposals"][0]["status"] = "accepted"
-    assist.write_review(review, path)
+    review.save(path)
+    assert assist.accepted_mappings(path, c) == {} == assist.accepted_mappings(tmp_path / "none.yaml", c)
+    again = assist.Review.load(path)
+    assert again.suggestions == review.suggestions and again.about["model"] == "m"
+    again.decide("accepted")
+    again.decide("rejected")  # decides only what is pending
+    again.save(path)
     assert assist.accepted_mappings(path, c) == {"buyer": "full_name"}
+    path.write_text("proposals: [{column: Buyer, target: full_name, status: perhaps}]")
     with pytest.raises(assist.AssistError):
-        assist.json_array("none")
+        assist.Review.load(path)
+    answer = "I can't tell."
+    with pytest.raises(assist.AssistError):
+        assist.propose({"Buyer": []}, c)
+    answer = 'one {"broken {"column": "Buyer", "target": null}'
+    assert [s.target for s in assist.propose({"Buyer": []}, c).suggestions] == [None]
+
+
+def test_daemon(tmp_path, capsys, monkeypatch):
+    from quern import cli
+
+    config = ["--config", str(tmp_path / "quern.yaml")]
+    assert cli.main(["daemon", "status", *config]) == 3 == cli.main(["daemon", "stop", *config])
+    assert cli.main(["daemon", "start", *config]) == 1  # no schedule
+    assert cli.main(["daemon", "unit", *config]) == 0 and "ExecStart=" in capsys.readouterr().out
+    held = scheduler.claim(tmp_path)
+    assert cli.main(["daemon", "status", *config]) == 0
+    held.write_text("999999999")
+    assert scheduler.running(tmp_path) is None
+    told, clock = [], [datetime(2024, 1, 1)]
+    scheduler.write_schedule(tmp_path, scheduler.Cron.parse("0 * * * *"))
+    monkeypatch.setattr(scheduler, "notify", lambda url, payload: told.append((url, payload["exit_code"])))
+
+    def sleep(s):
+        clock[0] += timedelta(seconds=s)
+
+    scheduler.loop(tmp_path, lambda: 2, lambda: clock[0], sleep, times=1, webhook="http://hook")
+    assert told == [("http://hook", 2)]
+    monkeypatch.undo()
+    assert not scheduler.notify("http://127.0.0.1:9/", {})
 
 
 def test_targets_refused():
