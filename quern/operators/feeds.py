@@ -11,22 +11,38 @@ from quern.functions.coerce import INTEGER, coerce
 from quern.functions.text import clean, compact_heading, let
 from quern.sources.records import parse_files, parse_records
 
-#: Headings by meaning, as letters and digits only. Any other heading means itself.
-ALIASES = {
-    "customer_id": ["customerid", "custid", "clientid", "customernumber", "customerno", "accountcode"],
-    "full_name": ["fullname", "name", "customername", "clientname", "client"],
-    "email": ["email", "mail", "emailaddress"],
-    "signup_date": ["signupdate", "datejoined", "joined", "registrationdate"],
-    "lifetime_value": ["lifetimevalue", "ltv", "totalspend", "spendtodate"],
-    "active": ["active", "isactive", "currentlyactive"],
-}
-#: Type by meaning where a cell must have one. digits: 0 to 9 only.
-KINDS = {"lifetime_value": "number", "row": "digits", "signup_date": "date", "active": "boolean"}
-
-
-def meaning(heading: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+#: Field to the headings that mean it, each in any writing of capitals, spaces and signs; other headings mean themselves.
+Aliases = dict[str, list[str]]
+
+
+def alias_table(fields: DataFrame, name: str, synonyms: str, own: Aliases | None = None, most_rows: int = 10_000) -> Aliases:
+    """The alias table from one of fields, ``synonyms`` being separated by semicolons, and what ``own`` adds to it. A list of bounded size, or an
+    error; blank names and synonyms stand for nothing, and a synonym of several fields means the first."""
+    rows = fields.where(F.col(name).isNotNull()).select(name, synonyms).limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"an alias table of more than {most_rows} fields")
+    out: Aliases = {}
+    for field, also in sorted((r[0], r[1] or "") for r in rows if r[0].strip()):
+        out[field] = [*out.get(field, [field]), *also.split(";")]
+    for field, more in (own or {}).items():
+        out[field] = [*out.get(field, [field]), *more]
+    return out
+
+
+def _compact(heading: str) -> str:
+    return "".join(c for c in heading.lower() if c.isalnum())
+
+
+def meaning(heading: Column, aliases: Aliases) -> Column:
     """The field a heading means by the alias table, or its own letters and digits in lower case."""
-    pairs = [F.lit(x) for field, names in (aliases or ALIASES).items() for n in names for x in (n, field)]
+    by_name: dict[str, str] = {}
+    for field, names in aliases.items():
+        for n in names:
+            if _compact(n):
+                by_name.setdefault(_compact(n), field)
+    if not by_name:
+        return compact_heading(heading)
+    pairs = [F.lit(x) for pair in by_name.items() for x in pair]
     return let(compact_heading(heading), lambda h: F.coalesce(F.try_element_at(F.create_map(*pairs), h), h))
 
 
@@ -41,13 +57,12 @@ def valid_cell(cell: Column, kind: str) -> Column:
     return x.isNull() | good
 
 
-def rejected_cells(records: DataFrame, aliases: dict[str, list[str]] | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+def rejected_cells(records: DataFrame, aliases: Aliases, kinds: dict[str, str]) -> DataFrame:
     """``records`` (of parse_files) with reasons: array of why a record can't be loaded, empty where it can.
 
     A structural reason stands alone; otherwise number, date and boolean stand at most once each, in this order, however many
-    cells of the kind are invalid.
+    cells of the kind are invalid. ``kinds``: number, digits (0 to 9 only), date or boolean, by the field whose cells must be one.
     """
-    kinds = kinds or KINDS
     by_field = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     typed = records.withColumn("_kinds", F.transform("headings", lambda h: F.try_element_at(by_field, meaning(h, aliases))))
 
@@ -61,7 +76,7 @@ def rejected_cells(records: DataFrame, aliases: dict[str, list[str]] | None = No
     return typed.withColumn("reasons", F.when(F.col("reason").isNotNull(), F.array("reason")).when(F.col("headings").isNull(), empty).otherwise(reasons)).drop("_kinds")
 
 
-def reported_lines(lines: DataFrame, aliases: dict[str, list[str]] | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+def reported_lines(lines: DataFrame, aliases: Aliases, kinds: dict[str, str]) -> DataFrame:
     """file_name, line_no, reason of each line of ``lines`` that can't be loaded, also for want of headings.
 
     The reasons are those of rejected_cells and ``headings``, for each line of a file whose line 1 is missing, blank or of broken
@@ -74,7 +89,7 @@ def reported_lines(lines: DataFrame, aliases: dict[str, list[str]] | None = None
     return below.unionByName(parse_records(first, "_heading").where("cells is null").select("file_name", "line_no", F.lit("headings").alias("reason")))
 
 
-def _field_names(aliases: dict[str, list[str]] | None) -> Column:
+def _field_names(aliases: Aliases) -> Column:
     """Meaning of each of ``headings``; the second and later ones of a meaning are numbered as in column_catalogue."""
 
     def numbered(fields: Column) -> Column:
@@ -90,7 +105,7 @@ def _others(fields: dict[str, str]) -> Column:
     return F.map_from_entries(F.transform(rest, lambda z: F.struct(z["_fields"].alias("k"), z["cells"].alias("v"))))
 
 
-def loaded_rows(records: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def loaded_rows(records: DataFrame, fields: dict[str, str], aliases: Aliases) -> DataFrame:
     """The records without reasons as typed rows: the columns of ``records`` but cells, then ``fields`` (name to type of coerce).
 
     A field that a file doesn't have is null; of two columns with one meaning the first counts. The cells of all other columns, the
@@ -119,7 +134,7 @@ def drift_type(cell: Column) -> Column:
     return let(clean(cell), of)
 
 
-def column_catalogue(lines: DataFrame, files: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def column_catalogue(lines: DataFrame, files: DataFrame, aliases: Aliases) -> DataFrame:
     """One row for each column of each file: feed, seq, file_name, position, heading, field, type.
 
     ``lines``: file_name, line_no, raw_line; ``files``: file_name, feed_code, file_month. seq numbers a feed's files by month (ties by
@@ -171,7 +186,7 @@ def column_changes(catalogue: DataFrame) -> DataFrame:
     return rows.join(names, ["feed_code", "seq"]).select("feed_code", "file_name", "change", "heading")
 
 
-def unified_table(lines: DataFrame, files: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def unified_table(lines: DataFrame, files: DataFrame, fields: dict[str, str], aliases: Aliases) -> DataFrame:
     """All files as one table: file_name, line_no and ``fields`` cast by the alias table; cells that don't read are null.
 
     Every other column goes into ``others``, a map from field to text, so that none is lost; the second of a meaning is

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.column_profile import EMAIL, ColumnSpec
+from quern.operators.feeds import Aliases, alias_table
 from quern.sources.tables import table
 
 #: Typed columns by table, in order of id, name, e-mail, date, value, active, then notes.
@@ -31,6 +32,24 @@ FIELD_SPECS = [
 ]
 
 
+#: What the feeds call the fields besides the names in canonical_fields.
+FEED_HEADINGS = {
+    "customer_id": ["cust id", "customer no"],
+    "full_name": ["name", "client"],
+    "email": ["mail"],
+    "signup_date": ["joined"],
+    "lifetime_value": ["spend to date"],
+    "active": ["currently active"],
+}
+#: What the cells of a field must be.
+FEED_KINDS = {"lifetime_value": "number", "row": "digits", "signup_date": "date", "active": "boolean"}
+
+
+def feed_aliases(spark: SparkSession, folder: str) -> Aliases:
+    """The alias table of the customer feeds: canonical_fields' names and synonyms of their fields, and FEED_HEADINGS."""
+    return alias_table(table(spark, folder, "canonical_fields").where(F.col("field_name").isin(list(FEED_HEADINGS))), "field_name", "synonyms", FEED_HEADINGS)
+
+
 def customers(spark: SparkSession, folder: str, fields: list[str]) -> DataFrame:
     """Rows of all three tables with ``fields`` (of FIELDS, as typed), rec_id, load_id, site_code, district and updated_at."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.operators import column_profile as cp
 from quern.operators import feeds
 from quern.operators.instants import normalise_instants
-from quern.plans.customer_tables import COLUMNS, FIELD_SPECS, FIELDS, customers
+from quern.plans.customer_tables import COLUMNS, FEED_HEADINGS, FEED_KINDS, FIELD_SPECS, FIELDS, customers, feed_aliases
 from quern.sources.records import parse_files
 from quern.sources.tables import table
 
@@ -88,7 +88,7 @@ EXCEPTION_FIELDS = {"file": "string", "row": "integer", "column": "string", "val
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    return feeds.rejected_cells(parse_files(table(spark, folder, "raw_lines")))
+    return feeds.rejected_cells(parse_files(table(spark, folder, "raw_lines")), feed_aliases(spark, folder), FEED_KINDS)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,17 +98,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """As p3_found, and with the reason headings each line of a file without readable headings."""
-    return feeds.reported_lines(table(spark, folder, "raw_lines"))
+    return feeds.reported_lines(table(spark, folder, "raw_lines"), feed_aliases(spark, folder), FEED_KINDS)
 
 
 def p3_customers(spark: SparkSession, folder: str) -> DataFrame:
     """The customer lines that can be loaded, as typed rows."""
-    return feeds.loaded_rows(_records(spark, folder).where("array_contains(headings, 'kind') = false"), CUSTOMER_FIELDS)
+    return feeds.loaded_rows(_records(spark, folder).where("array_contains(headings, 'kind') = false"), CUSTOMER_FIELDS, feed_aliases(spark, folder))
 
 
 def p3_exceptions(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of exception logs that can be loaded, as typed rows."""
-    return feeds.loaded_rows(_records(spark, folder).where("array_contains(headings, 'kind')"), EXCEPTION_FIELDS)
+    return feeds.loaded_rows(_records(spark, folder).where("array_contains(headings, 'kind')"), EXCEPTION_FIELDS, feed_aliases(spark, folder))
 
 
 def _feed_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -118,17 +118,17 @@ def _feed_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, change, heading of each change between a customer feed's files."""
-    return feeds.column_changes(feeds.column_catalogue(*_feed_files(spark, folder))).select("file_name", "change", "heading")
+    return feeds.column_changes(feeds.column_catalogue(*_feed_files(spark, folder), feed_aliases(spark, folder))).select("file_name", "change", "heading")
 
 
 def p5_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Every column of every file of the customer feeds, with meaning and type."""
-    return feeds.column_catalogue(*_feed_files(spark, folder))
+    return feeds.column_catalogue(*_feed_files(spark, folder), feed_aliases(spark, folder))
 
 
 def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     """All files of the customer feeds as one table."""
-    return feeds.unified_table(*_feed_files(spark, folder), CUSTOMER_FIELDS)
+    return feeds.unified_table(*_feed_files(spark, folder), CUSTOMER_FIELDS, feed_aliases(spark, folder))
 
 
 QUERIES = {
@@ -157,7 +157,11 @@ _MAIL = "regexp_full_match({x}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"
 # Cells of a record whose quoting is whole: cut at the commas outside quotes, then unquoted.
 _WHOLE = r"""regexp_full_match(raw_line, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*', 's')"""
 _CUT = r"""[case when starts_with(c, '"') then replace(c[2:-2], '""', '"') else c end for c in regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1)]"""
-_MEANS = "case " + " ".join(f"when k in ({', '.join(repr(n) for n in names)}) then '{f}'" for f, names in feeds.ALIASES.items()) + " else k end"
+_SQUEEZE = "regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+_OWN = ", ".join(f"('{f}', '{''.join(n.split())}')" for f, names in FEED_HEADINGS.items() for n in names)
+#: al: the alias table; m: meaning of the heading whose letters and digits are k.
+_ALIASES = f"""al as (select min(f) as f, k from (select field_name as f, {_SQUEEZE.format(x="unnest(string_split(field_name || ';' || coalesce(synonyms, ''), ';'))")} as k from canonical_fields where field_name in ({", ".join(f"'{f}'" for f in FEED_HEADINGS)}) union all select * from (values {_OWN}) v(f, k)) where k <> '' group by k)"""
+_MEANS = "coalesce((select al.f from al where al.k = s.k), s.k)"
 _MOMENT = "coalesce(" + ", ".join(
     f"case when regexp_full_match({{x}}, '{p}') then try_strptime({{x}}, '{f}') end"
     for p, f in [
@@ -167,9 +171,9 @@ _MOMENT = "coalesce(" + ", ".join(
     ]
 ) + ")"
 #: f: each file's headings; q: each record below them with its cells; x: each cell with its heading, meaning and stripped text.
-_LINES = f"""f as (select file_name, {_CUT} as heads from raw_lines where line_no = 1),
+_LINES = f"""{_ALIASES}, f as (select file_name, {_CUT} as heads from raw_lines where line_no = 1),
 q as (select r.file_name, line_no, heads, {_WHOLE} as whole, {_CUT} as cells from raw_lines r join f using (file_name) where line_no > 1 and trim(raw_line) <> ''),
-x as (select file_name, line_no, position, heads[position] as heading, {_MEANS} as field, nullif(trim(cells[position]), '') as x from (select *, unnest(range(1, len(heads) + 1)) as position, regexp_replace(lower(heads[position]), '[^a-z0-9]+', '', 'g') as k from q where whole and len(cells) = len(heads)))"""
+x as (select file_name, line_no, position, heads[position] as heading, {_MEANS} as field, nullif(trim(cells[position]), '') as x from (select *, unnest(range(1, len(heads) + 1)) as position, regexp_replace(lower(heads[position]), '[^a-z0-9]+', '', 'g') as k from q where whole and len(cells) = len(heads)) s)"""
 
 
 def _cells() -> str:
@@ -203,7 +207,7 @@ with {_LINES}, t as (select file_name, position, case when regexp_full_match(x,
   when {_MOMENT.format(x="x")} is not null then case when x like '%:%' then 5 else 4 end else 6 end as type, count(*) as n from x where x is not null group by all),
 m as (select file_name, position, arg_max(type, (n, -type)) as type from t group by all),
 s as (select file_name, feed_code, row_number() over (partition by feed_code order by file_month nulls first, file_name) as seq from raw_files where regexp_matches(feed_code, '^(nth|sth|est)-')),
-h as (select file_name, position, heads[position] as heading, {_MEANS} as field from (select *, unnest(range(1, len(heads) + 1)) as position, regexp_replace(lower(heads[position]), '[^a-z0-9]+', '', 'g') as k from f)),
+h as (select file_name, position, heads[position] as heading, {_MEANS} as field from (select *, unnest(range(1, len(heads) + 1)) as position, regexp_replace(lower(heads[position]), '[^a-z0-9]+', '', 'g') as k from f) s),
 c as (select feed_code, seq, file_name, heading, field, type from h join s using (file_name) left join m using (file_name, position)),
 p as (select now.*, old.heading as old_heading, old.type as old_type from c now left join c old on now.feed_code = old.feed_code and now.field = old.field and old.seq = now.seq - 1)
 select file_name, 'added' as change, heading from p where old_heading is null and seq > 1

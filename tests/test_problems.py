@@ -14,10 +14,17 @@ from quern.operators import column_profile as cp
 from quern.operators import feeds
 from quern.operators.instants import normalise_instants
 from quern.operators.quantile import exact_median
+from quern.plans.customer_tables import FEED_KINDS
 from quern.sources.records import parse_files, parse_records, split_record
 
 csv.field_size_limit(1 << 30)
 
+#: An alias table as feeds.alias_table gives it.
+ALIASES = {
+    "customer_id": ["customer_id", "cust id", " client id", "Account Code"], "full_name": ["full_name", "name", "customer name"], "email": ["email", "E-Mail Address", "mail"],
+    "signup_date": ["signup_date", "date joined", "joined"], "lifetime_value": ["lifetime_value", "ltv", "total spend"], "active": ["active", "is active"],
+}
+
 # ---- medians
 
 
@@ -151,23 +158,23 @@ def test_rejects_and_loads(spark):
         "none.csv": [],
     })
     extra = spark.createDataFrame([("lost.csv", 2, "a,b")], lines.schema)
-    r = feeds.rejected_cells(parse_files(lines.unionByName(extra).unionByName(lines.where("line_no = 1"))))
+    r = feeds.rejected_cells(parse_files(lines.unionByName(extra).unionByName(lines.where("line_no = 1"))), ALIASES, FEED_KINDS)
     got = {(x.file_name, x.line_no): x.reasons for x in r.collect()}
     assert got == {("n.csv", 2): [], ("n.csv", 3): ["number", "date", "boolean"], ("n.csv", 4): [], ("n.csv", 5): ["field_count"], ("n.csv", 7): ["date"], ("e.csv", 2): [], ("e.csv", 3): ["number"], ("e.csv", 4): ["number"], ("lost.csv", 2): []}
-    rows = feeds.loaded_rows(r.where("file_name = 'n.csv'"), {"customer_id": "string", "lifetime_value": "float", "active": "boolean", "notes": "string"}).collect()
+    rows = feeds.loaded_rows(r.where("file_name = 'n.csv'"), {"customer_id": "string", "lifetime_value": "float", "active": "boolean", "notes": "string"}, ALIASES).collect()
     assert sorted((x.customer_id, x.lifetime_value, x.active, x.notes) for x in rows) == [("1", 5.5, True, None), ("3", None, None, None)]
 
 
 def test_no_cell_of_a_loaded_row_is_lost(spark):
     lines = table(spark, {"n.csv": ["customer_id,Depot,LTV,Phone Ext", "1,north,5.5, 12 ", "2,,x,3", "3,south,,"], "m.csv": ["customer_id", "4"]})
-    rows = feeds.loaded_rows(feeds.rejected_cells(parse_files(lines)), {"customer_id": "string", "lifetime_value": "float"}).collect()
+    rows = feeds.loaded_rows(feeds.rejected_cells(parse_files(lines), ALIASES, FEED_KINDS), {"customer_id": "string", "lifetime_value": "float"}, ALIASES).collect()
     assert {r.customer_id: r.others for r in rows} == {"1": {"depot": "north", "phoneext": " 12 "}, "3": {"depot": "south", "phoneext": ""}, "4": {}}
 
 
 def test_files_without_headings_are_reported(spark):
     lines = table(spark, {"ok.csv": ["customer_id,LTV", "1,2", "1,x"], "blank.csv": [" ", "1,2", ""], "quote.csv": ['"id,LTV', "1,2", '"3'], "null.csv": [None, "1"]})
     lost = spark.createDataFrame([("lost.csv", 2, "a,b"), ("lost.csv", 3, "c")], lines.schema)
-    got = sorted(tuple(r) for r in feeds.reported_lines(lines.unionByName(lost)).collect())
+    got = sorted(tuple(r) for r in feeds.reported_lines(lines.unionByName(lost), ALIASES, FEED_KINDS).collect())
     assert got == [
         ("blank.csv", 1, "headings"), ("blank.csv", 2, "headings"), ("lost.csv", 2, "headings"), ("lost.csv", 3, "headings"), ("null.csv", 1, "headings"), ("null.csv", 2, "headings"),
         ("ok.csv", 3, "number"), ("quote.csv", 1, "headings"), ("quote.csv", 2, "headings"), ("quote.csv", 3, "headings"), ("quote.csv", 3, "quoting"),
@@ -186,14 +193,14 @@ def test_drift(spark):
         "b1": ["Name", "x"],
     }
     meta = spark.createDataFrame([("a1", "nth-1", "2024-01"), ("a2", "nth-1", "2024-02"), ("a3", "nth-1", "2024-05"), ("a4", "nth-1", "2024-06"), ("b1", "nth-2", None)], "file_name string, feed_code string, file_month string")
-    c = feeds.column_catalogue(table(spark, files), meta)
+    c = feeds.column_catalogue(table(spark, files), meta, ALIASES)
     got = sorted((r.file_name, r.change, r.heading) for r in feeds.column_changes(c).collect())
     assert got == [
         ("a2", "added", "Notes"), ("a2", "removed", "Depot"), ("a2", "renamed", "Client ID"), ("a2", "type_changed", "Client ID"), ("a2", "type_changed", "Joined"),
         ("a3", "added", "Notes"), ("a4", "removed", "Notes"),
     ]
-    assert feeds.column_changes(feeds.column_catalogue(table(spark, files).limit(0), meta)).count() == 0
-    t = feeds.unified_table(table(spark, files), meta, {"customer_id": "string", "signup_date": "date"}).collect()
+    assert feeds.column_changes(feeds.column_catalogue(table(spark, files).limit(0), meta, ALIASES)).count() == 0
+    t = feeds.unified_table(table(spark, files), meta, {"customer_id": "string", "signup_date": "date"}, ALIASES).collect()
     assert len(t) == 7 and {r.others.get("depot") for r in t if r.file_name == "a1"} == {"d"}
 
 
@@ -207,7 +214,7 @@ def test_second_column_of_a_meaning_is_kept(spark):
     lines = table(spark, {"a": ["Name,e-mail,Mail,Depot,Customer Name,Depot,depot", "Ann,a@b.c,d@e.f,1,Ann B,2,3"]})
     fields = {"full_name": "string", "email": "string"}
     want = {"email#2": "d@e.f", "depot": "1", "full_name#2": "Ann B", "depot#2": "2", "depot#3": "3"}
-    for r in (feeds.unified_table(lines, lines, fields).first(), feeds.loaded_rows(feeds.rejected_cells(parse_files(lines)), fields).first()):
+    for r in (feeds.unified_table(lines, lines, fields, ALIASES).first(), feeds.loaded_rows(feeds.rejected_cells(parse_files(lines), ALIASES, FEED_KINDS), fields, ALIASES).first()):
         assert (r.full_name, r.email, r.others) == ("Ann", "a@b.c", want)
 
 
@@ -269,3 +276,13 @@ def test_instants_round_trip(spark):
     got = normalise_instants(spark.createDataFrame(rows, "t string, w string").withColumn("z", F.lit(None).cast("string")), "t", "z").collect()
     assert all(r.instant.norm == r.w for r in got)
     assert Counter(r.instant.form for r in got) == {"ymd": 300}
+
+
+def test_alias_table(spark):
+    df = spark.createDataFrame([("a", " X Y; z ;;"), ("b", None), (None, "q"), ("a", "w"), (" ", "u")], "field string, also string")
+    got = feeds.alias_table(df, "field", "also", {"b": ["z"], "c": ["v"]})
+    heads = spark.createDataFrame([(h,) for h in ("x-y", "Z", "B", "V", "q", "other one", "!", None)], "h string")
+    assert [r[0] for r in heads.select(feeds.meaning(F.col("h"), got)).collect()] == ["a", "a", "b", "c", "q", "otherone", "!", None]
+    assert [r[0] for r in heads.select(feeds.meaning(F.col("h"), {})).collect()][:3] == ["xy", "z", "b"]
+    with pytest.raises(ValueError):
+        feeds.alias_table(df, "field", "also", most_rows=2)
