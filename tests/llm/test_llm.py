@@ -169,6 +169,15 @@ def test_cosines_are_exact():
     assert all(heavy[i] & heavy[j] for (i, j), s in want.items() if s >= names.COSINE)
 
 
+def test_refused_pairs_are_no_parties():
+    rng = random.Random(14)
+    parts = ["ash", "birch", "cedar", "dune", "elder", "fern"]
+    ns = [names.parse_name(f"{rng.choice(['Katherine', 'Edward', 'Kate', 'José', 'J.', 'Ed'])} {''.join(rng.sample(parts, 2))}{rng.choice(['', 'e', ' Ltd', ' M.'])}", LEXICON) for _ in range(120)]
+    i, j = np.triu_indices(len(ns), 1)
+    refused = names.TwoWords(ns, LEXICON).refused(i, j)
+    assert refused.any() and not any(names.same_party(ns[a], ns[b], LEXICON) for a, b in zip(i[refused], j[refused], strict=True))
+
+
 def test_average_linkage():
     links = {(0, 1): 0.9, (1, 2): 0.9, (0, 2): 0.1, (3, 4): 0.8, (2, 3): 0.45}
     assert names.average_linkage(6, links, 0.4) == [0, 0, 0, 3, 3, 5]
