@@ -30,7 +30,7 @@ REVIEW = "mapping-review.yaml"
 def _run(a: argparse.Namespace) -> int:
     config, root = load_config(a.config), a.config.resolve().parent
     spark = local_session()
-    result = run_pipeline(spark, config, root, a.config, assist.accepted_mappings(root / REVIEW, config))
+    result = run_pipeline(spark, config, root, a.config, assist.accepted_mappings(root / REVIEW, config), samples=a.assist)
     print(json.dumps(result.totals))
     if a.assist and result.unmapped_samples:
         try:

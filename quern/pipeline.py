@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,16 +98,19 @@ def typed_rows(spark: SparkSession, config: Config, raw: DataFrame, plan: list[t
     return typed.select("_source_file", "_row", "_ord", *[F.col(f"t{i}").alias(f.name) for i, f in enumerate(config.fields)], pinned(F.array_compact(F.array(*bad)) if bad else empty).alias("_v"))
 
 
-def _samples(raw: DataFrame, mapped: _Mapped) -> dict[str, list[str]]:
-    """A few different values of each unmapped column, as evidence for proposals."""
-    out: dict[str, list[str]] = {}
-    for path, name, _, headings, _ in mapped.plan:
-        for n, m in mapped.matches:
-            if n == name and m.target is None:
-                v = F.get("cells", F.lit(headings.index(m.source)))
-                got = raw.where((F.col("path") == path) & (F.col("_row") > 1)).select(v.alias("v")).where(F.trim("v") != "").groupBy("v").agg(F.lit(1)).limit(SAMPLES).collect()
-                known = out.setdefault(m.source, [])
-                known += [r.v for r in got if r.v not in known][: SAMPLES - len(known)]
+def _samples(spark: SparkSession, raw: DataFrame, mapped: _Mapped) -> dict[str, list[str]]:
+    """The first SAMPLES different values, by text, of each unmapped column, as evidence for proposals: one pass, whatever the number of
+    files and columns."""
+    free = {(name, m.source) for name, m in mapped.matches if m.target is None}
+    places = [(path, i, h) for path, name, _, headings, _ in mapped.plan for i, h in enumerate(headings) if (name, h) in free]
+    out: dict[str, list[str]] = {h: [] for _, _, h in places}
+    if places:
+        where = spark.createDataFrame(places, "_path string, _at int, heading string")
+        cells = raw.where("_row > 1").select("path", F.posexplode("cells").alias("at", "v")).where(F.trim("v") != "")
+        values = cells.join(where, (F.col("path") == F.col("_path")) & (F.col("at") == F.col("_at"))).select("heading", "v").distinct()
+        nth = F.row_number().over(Window.partitionBy("heading").orderBy("v"))
+        for r in values.withColumn("n", nth).where(F.col("n") <= SAMPLES).orderBy("heading", "n").collect():
+            out[r.heading].append(r.v)
     return out
 
 
@@ -126,8 +129,11 @@ def write_single(df: DataFrame, path: Path, kind: str) -> None:
             csv.writer(f).writerow(df.columns)
 
 
-def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: Path, accepted: dict[str, str] | None = None) -> RunResult:
-    """Reads, maps, coerces, validates, applies corrections, reconciles and writes. Nothing is dropped without a record."""
+def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: Path, accepted: dict[str, str] | None = None, samples: bool = True) -> RunResult:
+    """Reads, maps, coerces, validates, applies corrections, reconciles and writes. Nothing is dropped without a record.
+
+    ``samples``: look for samples of unmapped columns too, which reads the sources once more.
+    """
     started = datetime.now(UTC)
     root = root.resolve()
     files, skipped = discover_sources(config, root)
@@ -194,7 +200,7 @@ def run_pipeline(spark: SparkSession, config: Config, root: Path, config_path: P
         outputs = paths | {"report.json": data}
         inputs = [(n, root / n, r) for n, r in file_rows.items()]
         path = manifest.write_run_manifest(folder, started, datetime.now(UTC), config_path, inputs, outputs, totals, used)
-        return RunResult(len(mapped.plan), totals, outputs, path, _samples(raw, mapped), used)
+        return RunResult(len(mapped.plan), totals, outputs, path, _samples(spark, raw, mapped) if samples else {}, used)
     finally:
         for df in kept:
             df.unpersist()
