@@ -527,32 +527,48 @@ def _part(key: Column, i: int) -> Column:
     return F.split_part(key, F.lit("|"), F.lit(i))
 
 
-def _exchanged(parsed: DataFrame, common: list[str]) -> DataFrame:
-    """a, b (words, a < b), n: in how many names' remainders both stand. A remainder is all of a name but one word, and holds a word that
-    isn't common; of the words that meet in one, each is paired with the three next to it in an order without meaning, so that one in
-    which very many meet costs no more than its words."""
+def _meetings(parsed: DataFrame, common: list[str]) -> DataFrame:
+    """spot, word, others: the words that meet in a remainder, each once, and how many others it meets there. A remainder is all of a name
+    but one word, and holds a word that isn't common; one that only a single word completes is left out."""
     words = parsed.select("district", F.split(_part(F.col("key"), 1), " ").alias("words")).where(F.size("words") > 1)
-    each = words.select("district", "words", F.posexplode("words").alias("i", "word"))
-    rest = F.filter("words", lambda _, i: i != F.col("i"))
-    telling = F.exists(rest, lambda w: ~w.isin(common)) if common else F.lit(True)
-    spots = each.where(telling).select(F.xxhash64("district", F.concat_ws(" ", rest)).alias("spot"), "word").distinct()
-    along = Window.partitionBy("spot").orderBy(F.xxhash64("word"), "word")
-    next_to = spots.select("word", *[F.lead("word", k).over(along).alias(f"next{k}") for k in (1, 2, 3)])
-    met = next_to.select("word", F.explode(F.array_compact(F.array("next1", "next2", "next3"))).alias("other"))
-    longest = F.greatest(F.length("word"), F.length("other"))
-    mistyped = (longest >= 4) & (F.levenshtein("word", "other") <= F.when(longest < 9, 1).otherwise(2))
-    return met.where(~mistyped).groupBy(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _aliases(pairs: DataFrame) -> dict[str, tuple[str, ...]]:
-    """For a word the words it stands for: those that take its place far more often than their own frequency explains."""
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("all"))
-    often = pairs.where(F.col("n") >= F.lit(max(3, math.ceil(total * RARE_PAIR))))
-    known = often.join(ends.select(F.col("word").alias("a"), F.col("all").alias("a_all")), "a").join(ends.select(F.col("word").alias("b"), F.col("all").alias("b_all")), "b")
+    telling = F.size(F.filter("words", lambda w: ~w.isin(common))) if common else F.size("words")
+    each = words.select("district", "words", telling.alias("telling"), F.posexplode("words").alias("i", "word"))
+    each = each.where(F.col("telling") > (F.when(F.col("word").isin(common), 0).otherwise(1) if common else F.lit(1)))
+    rest = F.concat(F.slice("words", F.lit(1), F.col("i")), F.slice("words", F.col("i") + 2, F.size("words")))
+    spots = each.select(F.xxhash64("district", rest).alias("spot"), "word").repartition("spot").distinct()
+    return spots.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("spot")) - 1).where("others > 0")
+
+
+def _exchanged(met: DataFrame, least: int) -> DataFrame:
+    """a, b (words, a < b), n: in how many remainders both stand, of every pair that meets in ``least`` or more. ``met``: see _meetings.
+
+    No pair is passed over: a word that stands in fewer remainders than ``least`` can't be part of one, and of the others every pair counts.
+    With ``least`` as in _aliases these are at most 2 / RARE_PAIR words, and the pairs to be counted at most 1 / sqrt(2 * RARE_PAIR) a row of ``met``,
+    however many words meet in one remainder.
+    """
+    often = met.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("word").alias("_w"))
+    kept = met.join(often, F.col("word") == F.col("_w"), "left_semi")
+    both = kept.select("spot", F.col("word").alias("a")).join(kept.select("spot", F.col("word").alias("b")), "spot").where("a < b")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def _aliases(met: DataFrame) -> dict[str, tuple[str, ...]]:
+    """For a word the words it stands for: those that take its place far more often than their own frequency explains. Of two words that are
+    one but for a typing error neither stands for the other, and where they meet counts for neither."""
+    total = (met.agg(F.sum("others").alias("n")).first().n or 0) // 2
+    least = max(3, math.ceil(total * RARE_PAIR))
+    longest = F.greatest(F.length("a"), F.length("b"))
+    mistyped = (longest >= 4) & (F.levenshtein("a", "b") <= F.when(longest < 9, 1).otherwise(2))
+    pairs = _exchanged(met, least).withColumn("mistyped", mistyped).collect()  # at most 1 / RARE_PAIR rows
+    ends = {r.word: r.all for r in met.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("others").alias("all")).where(F.col("n") >= least).collect()} if pairs else {}
+    for r in pairs:
+        if r.mistyped:
+            ends[r.a], ends[r.b], total = ends[r.a] - r.n, ends[r.b] - r.n, total - r.n
     found: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    for r in known.collect():  # at most 1 / RARE_PAIR rows
-        (short, n_short), (full, n_full) = sorted(((r.a, r.a_all), (r.b, r.b_all)), key=lambda x: (x[1], x[0]))
+    for r in pairs:
+        if r.mistyped:
+            continue
+        (short, n_short), (full, n_full) = sorted(((r.a, ends[r.a]), (r.b, ends[r.b])), key=lambda x: (x[1], x[0]))
         expected = n_short * n_full / (2 * total)
         if r.n >= 0.2 * n_short and r.n >= 2 + expected + 4 * math.sqrt(expected) and n_short * 2 <= n_full:
             found[short].append((r.n, full))
@@ -573,7 +589,7 @@ def learn(parsed: DataFrame, nicknames: dict[str, list[str]] | None = None) -> L
     counts = np.zeros(GRAM_BUCKETS)
     counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     weights = np.round(64 * np.log1p(1 / np.maximum(counts / max(total, 1), RARE_GRAM)) ** 2)
-    aliases = _aliases(cut_lineage(_exchanged(parsed, [r.word for r in usual])))
+    aliases = _aliases(cut_lineage(_meetings(parsed, [r.word for r in usual])))
     for short, full in (nicknames or {}).items():
         aliases[short] = tuple(dict.fromkeys([*aliases.get(short, ()), *full]))
     # A word that stands for one that stands for a third stands for the third.

@@ -255,6 +255,29 @@ def test_exchanged_words_are_learnt(spark):
     assert _pairs(df, nicknames=nicknames) == want | {("X1", "X2")}
 
 
+@pytest.mark.parametrize("least", [1, 3])
+def test_every_exchange_counts(spark, least):
+    """All pairs of the words that meet in a remainder count, however many meet there, against brute force."""
+    rng = random.Random(16)
+    given = ["".join(rng.sample("abcdefghijklmnop", 5)) for _ in range(40)]
+    rows = [(f"D{d}", " ".join(sorted((g, last)))) for d in range(2) for k, last in enumerate(["quorl", "ruvt", "swyz", "tuwx"]) for g in rng.sample(given, 3 + 12 * k)]
+    rows += [("D0", "usual quorl"), ("D0", "rare quorl usual"), ("D0", "usual"), ("D0", "quorl quorl"), ("D1", "usual zz"), rows[0]]
+    spots = {}
+    for d, text in rows:
+        words = text.split()
+        for i, w in enumerate(words):
+            rest = (d, *words[:i], *words[i + 1 :])
+            if set(rest[1:]) - {"usual"}:
+                spots.setdefault(rest, set()).add(w)
+    want = {}
+    for met in spots.values():
+        for pair in combinations(sorted(met), 2):
+            want[pair] = want.get(pair, 0) + 1
+    met = names._meetings(spark.createDataFrame([(d, f"{x}|||") for d, x in rows], "district string, key string"), ["usual"])
+    assert sum(r.others for r in met.collect()) == 2 * sum(want.values()) and max(map(len, spots.values())) > 30
+    assert {(r.a, r.b): r.n for r in names._exchanged(met, least).collect()} == {k: n for k, n in want.items() if n >= least}
+
+
 # ---- 8: tokens
 
 
