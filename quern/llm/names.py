@@ -8,6 +8,7 @@ short forms, initials, order of parts); spellings are then grouped by average li
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 import re
@@ -125,6 +126,9 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+_NO_INITIALS: frozenset[str] = frozenset()
+
+
 class Name(NamedTuple):
     """What a name says: full words in order of the alphabet, initials, legal form; kind: f for a firm's, p for a person's, empty if unknown."""
 
@@ -140,7 +144,7 @@ class Name(NamedTuple):
     @staticmethod
     def of(key: str) -> Name:
         words, initials, legal, kind = key.split("|")
-        return Name(tuple(words.split()), frozenset(initials.split()), legal, kind)
+        return Name(tuple(words.split()), frozenset(initials.split()) if initials else _NO_INITIALS, legal, kind)
 
 
 def _consonants(w: str) -> str:
@@ -148,13 +152,17 @@ def _consonants(w: str) -> str:
     return _VOWELS.sub("", w)
 
 
+#: Long legal forms, without their vowels, their first and their last two letters.
+_LEGAL_PARTS = [(w, _consonants(w), w[:2], w[-2:]) for w in _LONG_LEGAL]
+
+
 @lru_cache(maxsize=1 << 16)
 def _legal(w: str) -> str | None:
     """The legal form a word stands for: known words, long ones with one typing error, and ones without their vowels; null if none."""
     if w in LEGAL:
         return LEGAL[w]
-    for known in _LONG_LEGAL if len(w) >= 4 else ():
-        if w == _consonants(known) or (len(w) >= 5 and (w.startswith(known[:2]) or w.endswith(known[-2:])) and edits(w, known, 1) <= 1):
+    for known, bare, head, tail in _LEGAL_PARTS if len(w) >= 4 else ():
+        if w == bare or (len(w) >= 5 and (w.startswith(head) or w.endswith(tail)) and edits(w, known, 1) <= 1):
             return LEGAL[known]
     return None
 
@@ -317,27 +325,91 @@ def heaviest(own: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return own[order[rest >= COSINE * COSINE * w.sum() * 0.9999]]  # cosines are rounded
 
 
+def _byte_sums() -> np.ndarray:
+    """Checksums of N bytes are the exclusive or of these, by place and byte."""
+    none = zlib.crc32(bytes(N))
+    return np.array([[zlib.crc32(bytes(i) + bytes([c]) + bytes(N - 1 - i)) ^ (none if i else 0) for c in range(128)] for i in range(N)], np.uint32)
+
+
+_BYTE_SUMS = _byte_sums()
+
+
+class Words:
+    """Words with what is looked up of each: n-grams as of grams (grams, begin, size), letters as of _bits, and the first letter (first)."""
+
+    def __init__(self, words: list[str]):
+        text = f"#{'#'.join(words)}#"
+        codes = np.frombuffer(text.encode("ascii", "replace"), np.uint8)  # a letter a byte; others are put right below
+        sums = np.zeros(max(0, len(codes) - N + 1), np.uint32)
+        for i in range(N):
+            sums ^= _BYTE_SUMS[i][codes[i : i + len(sums)]]
+        length = np.array([len(w) for w in words], np.int64)
+        self.grams = (sums % GRAM_BUCKETS).astype(np.int64)
+        self.begin, self.size = np.cumsum(length + 1) - length - 1, np.maximum(length + 3 - N, 0)
+        letters = np.uint64(1) << (codes % 64).astype(np.uint64)
+        letters[codes == ord("#")] = 0
+        self.letters = np.bitwise_or.reduceat(letters, self.begin + 1) if len(words) else np.zeros(0, np.uint64)
+        self.first = codes[self.begin + 1].astype(np.int64)
+        for k in () if text.isascii() else [k for k, w in enumerate(words) if not w.isascii()]:
+            self.grams[self.begin[k] : self.begin[k] + self.size[k]] = grams(words[k])
+            self.letters[k], self.first[k] = _bits(words[k]), ord(words[k][0])
+
+    def vectors(self, word: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different n-grams of names and the name of each, rising. ``word``: the words of all names, one name after the other; ``many``: words of each."""
+        size = self.size[word]
+        place = np.arange(size.sum()) + np.repeat(self.begin[word] - np.cumsum(size) + size, size)
+        name = np.repeat(np.repeat(np.arange(len(many)), many), size)
+        codes = np.unique(name * GRAM_BUCKETS + self.grams[place])
+        return codes % GRAM_BUCKETS, codes // GRAM_BUCKETS
+
+
 class TwoWords:
-    """What tells, for many pairs of names at a time, that same_party would refuse them. It speaks of names of two words without initials
-    only: where one word is equal, the others can neither be near (their letters differ too much, see edits) nor be one short for the other
-    (they begin differently)."""
+    """What tells, for many pairs of names at a time, that same_party would refuse them: legal forms that differ, and, of two names of two
+    words each, not both with initials, one word that is equal while the others can neither be near (their letters or lengths differ too much,
+    see _near and edits) nor be one short for the other (they begin differently, or each has a letter that the other hasn't)."""
 
     def __init__(self, names: list[Name], lexicon: Lexicon):
         ids: dict[str, int] = {}
-        two = [n.words if len(n.words) == 2 and not n.initials and lexicon.aliases.keys().isdisjoint(n.words) else None for n in names]
-        self.plain = np.array([w is not None for w in two])
-        pairs = [w or ("", "") for w in two]
-        self.word = np.array([[ids.setdefault(x, len(ids)) for x in w] for w in pairs]).reshape(-1, 2)
-        self.letters = np.array([_bits(x) for x in ids], np.uint64)
-        self.first = np.array([ord(x[0]) if x else 0 for x in ids])
+        self.all = np.array([ids.setdefault(x, len(ids)) for n in names for x in n.words], np.int64)
+        self.many = np.array([len(n.words) for n in names], np.int64)
+        self.words = Words(list(ids))
+        self.length = np.array([len(x) for x in ids], np.int64)
+        forms: dict[str, int] = {"": 0}
+        self.legal = np.array([forms.setdefault(n.legal, len(forms)) for n in names], np.int64)
+        self.initials = np.array([bool(n.initials) for n in names], bool)
+        stands = np.zeros(len(ids), bool)
+        stands[[ids[x] for x in lexicon.aliases.keys() & ids.keys()]] = True
+        self.plain = self.many == 2
+        self.word = np.zeros((len(names), 2), np.int64)
+        self.word[self.plain] = self.all[np.repeat(self.plain, self.many)].reshape(-1, 2)
+        self.plain &= ~stands[self.word].any(1)
+
+    def of(self, at: np.ndarray) -> TwoWords:
+        """The same of some of the names only."""
+        some = copy.copy(self)
+        some.plain, some.word, some.legal, some.initials = self.plain[at], self.word[at], self.legal[at], self.initials[at]
+        return some
+
+    def vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """See Words.vectors."""
+        return self.words.vectors(self.all, self.many)
 
     def refused(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        a, b = self.word[i], self.word[j]
-        met = a[:, :, None] == b[:, None, :]
-        x = np.where(met[:, 0].any(1), a[:, 1], a[:, 0])  # the word that isn't met, if one is
-        y = np.where(met[:, :, 0].any(1), b[:, 1], b[:, 0])
-        apart = np.bitwise_count(self.letters[x] ^ self.letters[y]) > 4
-        return self.plain[i] & self.plain[j] & (met.sum((1, 2)) == 1) & apart & (self.first[x] != self.first[y])
+        (a, b), (c, d), letters = self.word[i].T, self.word[j].T, self.words.letters
+        met = np.stack((a == c, a == d, b == c, b == d))
+        x = np.where(met[0] | met[1], b, a)  # the word that isn't met, if one is
+        y = np.where(met[0] | met[2], d, c)
+        longest = np.maximum(self.length[x], self.length[y])
+        most = np.where(longest < 4, 0, np.where(longest < 9, 1, 2))
+        far = (np.bitwise_count(letters[x] ^ letters[y]) > 2 * most) | (np.abs(self.length[x] - self.length[y]) > most)
+        unlike = (self.words.first[x] != self.words.first[y]) | ((letters[x] & ~letters[y] != 0) & (letters[y] & ~letters[x] != 0))
+        differ = self.plain[i] & self.plain[j] & (met.sum(0) == 1) & far & unlike & ~(self.initials[i] & self.initials[j])
+        return differ | ((self.legal[i] != self.legal[j]) & (self.legal[i] > 0) & (self.legal[j] > 0))
+
+
+@lru_cache(maxsize=64)
+def _few(length: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(length, 1)
 
 
 def similar_pairs(vectors: list[np.ndarray], lexicon: Lexicon, sides: np.ndarray | None = None, least: float = COSINE, words: TwoWords | None = None) -> Iterator[tuple[int, int, float]]:
@@ -346,11 +418,17 @@ def similar_pairs(vectors: list[np.ndarray], lexicon: Lexicon, sides: np.ndarray
     Every partner above the threshold comes out: a number of nearest ones beyond which none is looked at would lose links. With
     ``sides`` only pairs of different sides count; those that ``words`` refuses are left out. Weights are whole numbers, so sums are exact and a cosine depends on its two names only.
     """
-    n = len(vectors)
+    if vectors:
+        row = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+        for found in _similar(np.concatenate(vectors), row, len(vectors), lexicon, sides, least, words):
+            yield from zip(*(x.tolist() for x in found), strict=True)
+
+
+def _similar(flat: np.ndarray, row: np.ndarray, n: int, lexicon: Lexicon, sides: np.ndarray | None, least: float, words: TwoWords | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What similar_pairs gives, in arrays. ``flat``, ``row``: the n-grams of the names and the name of each, rising, of ``n`` names."""
     if n < 2:
         return
-    flat = np.concatenate(vectors)
-    row = np.repeat(np.arange(n, dtype=np.int32 if n < 46_000 else np.int64), [len(v) for v in vectors])  # n * n must fit
+    row = row.astype(np.int32 if n < 46_000 else np.int64)  # n * n must fit
     w = lexicon.weight(flat)
     norm = np.bincount(row, w, n)
     root = np.sqrt(norm)
@@ -365,19 +443,20 @@ def similar_pairs(vectors: list[np.ndarray], lexicon: Lexicon, sides: np.ndarray
     begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     lengths = np.diff(np.concatenate((begin, [len(gram)])))
     # What each pair's heavy n-grams add up to; the others add at most what is light in either name.
-    partial, codes, values, held = np.zeros(n * n), [], [], 0
+    partial, codes, values, held = None, [], [], 0
     weight = w[heavy]
 
     def add() -> None:
-        nonlocal held
-        if codes:
-            partial[:] += np.bincount(np.concatenate(codes), np.concatenate(values), n * n)
+        nonlocal held, partial
+        if codes or partial is None:
+            sums = np.bincount(np.concatenate([np.zeros(0, row.dtype), *codes]), np.concatenate([np.zeros(0), *values]), n * n)
+            partial = sums if partial is None else partial + sums
             codes.clear()
             values.clear()
             held = 0
 
     for length in np.unique(lengths[lengths > 1]):  # all lists of one length at a time
-        first, second = np.triu_indices(length, 1)
+        first, second = _few(int(length)) if length < 64 else np.triu_indices(length, 1)
         starts = begin[lengths == length]
         for at in np.array_split(starts, max(1, len(starts) * len(first) // PAIRS)):
             rows = lists[at[:, None] + np.arange(length)]
@@ -396,7 +475,7 @@ def similar_pairs(vectors: list[np.ndarray], lexicon: Lexicon, sides: np.ndarray
     has = np.zeros((n, len(known)), bool)
     has[row, at] = True
     has, width = has.ravel(), len(known)
-    sizes = np.array([len(v) for v in vectors])
+    sizes = np.bincount(row, minlength=n)
     ends = np.cumsum(sizes)
     for chunk in np.array_split(candidates, max(1, len(candidates) * 32 // PAIRS)):
         i, j = chunk // n, chunk % n
@@ -414,7 +493,7 @@ def similar_pairs(vectors: list[np.ndarray], lexicon: Lexicon, sides: np.ndarray
         dots = np.add.reduceat(w[place] * has.take(np.repeat(j * width, many) + at[place]), stops - many)
         cosine = dots / (root[i] * root[j])
         kept = cosine >= least
-        yield from zip(i[kept].tolist(), j[kept].tolist(), cosine[kept].tolist(), strict=True)
+        yield i[kept], j[kept], cosine[kept]
 
 
 def average_linkage(size: int, links: dict[tuple[int, int], float], least: float = LINKAGE, weights: list[int] | None = None) -> list[int]:
@@ -508,17 +587,18 @@ def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.R
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """district, id and the key of what the name says; names without words are left out."""
     for batch in batches:
-        cells = zip(*(batch.column(c).to_pylist() for c in ("district", "id", "name")), strict=True)
-        rows = [(d, i, key) for d, i, text in cells if (key := parse_key(text))[0] != "|"]
-        yield _rows(["district", "id", "key"], [pa.string()] * 3, rows)
+        keys = [parse_key(text) for text in batch.column("name").to_pylist()]
+        rows = pa.RecordBatch.from_arrays([batch.column("district"), batch.column("id"), pa.array(keys, pa.string())], names=["district", "id", "key"])
+        yield rows.filter(pa.array([key[0] != "|" for key in keys], pa.bool_()))
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, n: in how many names the n-grams of a bucket stand, of the words of a task."""
     counts = np.zeros(GRAM_BUCKETS, np.int64)
     for batch in batches:
-        for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            counts[list(set(grams(w)))] += n
+        words = Words(batch.column("word").to_pylist())
+        own, word = words.vectors(np.arange(len(words.size)), np.ones(len(words.size), np.int64))
+        np.add.at(counts, own, batch.column("n").to_numpy()[word])
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
@@ -527,10 +607,10 @@ def _part(key: Column, i: int) -> Column:
     return F.split_part(key, F.lit("|"), F.lit(i))
 
 
-def _meetings(parsed: DataFrame, common: list[str]) -> DataFrame:
+def _meetings(spelled: DataFrame, common: list[str]) -> DataFrame:
     """spot, word, others: the words that meet in a remainder, each once, and how many others it meets there. A remainder is all of a name
     but one word, and holds a word that isn't common; one that only a single word completes is left out."""
-    words = parsed.select("district", F.split(_part(F.col("key"), 1), " ").alias("words")).where(F.size("words") > 1)
+    words = spelled.select("district", F.split(_part(F.col("key"), 1), " ").alias("words")).where(F.size("words") > 1)
     telling = F.size(F.filter("words", lambda w: ~w.isin(common))) if common else F.size("words")
     each = words.select("district", "words", telling.alias("telling"), F.posexplode("words").alias("i", "word"))
     each = each.where(F.col("telling") > (F.when(F.col("word").isin(common), 0).otherwise(1) if common else F.lit(1)))
@@ -575,21 +655,22 @@ def _aliases(met: DataFrame) -> dict[str, tuple[str, ...]]:
     return {w: tuple(full for _, full in sorted(x, key=lambda y: (-y[0], y[1]))) for w, x in found.items()}
 
 
-def learn(parsed: DataFrame, nicknames: dict[str, list[str]] | None = None) -> Lexicon:
-    """The Lexicon of a table's names. ``parsed``: district, id, key; ``nicknames``: short forms known beforehand, by word.
+def learn(spelled: DataFrame, nicknames: dict[str, list[str]] | None = None) -> Lexicon:
+    """The Lexicon of a table's names. ``spelled``: district, key, each once, and n, how many names say it; ``nicknames``: short forms known
+    beforehand, by word.
 
     Everything is counted over all rows; what comes to the driver is bounded by COMMON, RARE_PAIR and GRAM_BUCKETS.
     """
     legal = _part(F.col("key"), 4) == "f"
-    split = parsed.select(F.explode(F.array_distinct(F.split(_part(F.col("key"), 1), " "))).alias("word"), legal.alias("firm"))
-    words = cut_lineage(split.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("firm").alias("firms")))
-    total = parsed.count()
+    split = spelled.select(F.explode(F.array_distinct(F.split(_part(F.col("key"), 1), " "))).alias("word"), "n", F.when(legal, F.col("n")).otherwise(0).alias("firm"))
+    words = cut_lineage(split.groupBy("word").agg(F.sum("n").alias("n"), F.sum("firm").alias("firms")))
+    total = spelled.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     usual = words.where(F.col("n") > COMMON * (total + PRIOR)).collect()
     counted = words.mapInArrow(_gram_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(GRAM_BUCKETS)
     counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     weights = np.round(64 * np.log1p(1 / np.maximum(counts / max(total, 1), RARE_GRAM)) ** 2)
-    aliases = _aliases(cut_lineage(_meetings(parsed, [r.word for r in usual])))
+    aliases = _aliases(cut_lineage(_meetings(spelled, [r.word for r in usual])))
     for short, full in (nicknames or {}).items():
         aliases[short] = tuple(dict.fromkeys([*aliases.get(short, ()), *full]))
     # A word that stands for one that stands for a third stands for the third.
@@ -632,13 +713,18 @@ def _block(lexicon):
         keys = [keys[k] for k in order]
         names = [written_out(Name.of(k), lexicon.value) for k in keys]
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        own, vectors, found = own[order], [vector(n) for n in names], []
+        words, found = TwoWords(names, lexicon.value), []
+        grams, name = words.vectors()
+        kinds, own = np.array([n.kind for n in names]), own[order]
         for kind in "fp":  # a firm is never a person
-            at = [k for k, n in enumerate(names) if n.kind in ("", kind)]
-            for i, j, s in similar_pairs([vectors[k] for k in at], lexicon.value, own[at] if across else None, words=TwoWords([names[k] for k in at], lexicon.value)):
-                a, b = at[i], at[j]
-                if same_party(names[a], names[b], lexicon.value):
-                    found.append((keys[a], keys[b], s))
+            ours = (kinds == kind) | (kinds == "")
+            at, held = np.flatnonzero(ours), ours[name]
+            for i, j, s in _similar(grams[held], (np.cumsum(ours) - 1)[name[held]], len(at), lexicon.value, own[at] if across else None, COSINE, words.of(at)):
+                i, j = at[i], at[j]
+                new = (kind == "f") | (kinds[i] != "") | (kinds[j] != "")  # pairs of two unknown kinds come out with firms
+                for a, b, x in zip(i[new].tolist(), j[new].tolist(), s[new].tolist(), strict=True):
+                    if same_party(names[a], names[b], lexicon.value):
+                        found.append((keys[a], keys[b], x))
         district = pa.array([table.column("district")[0].as_py()] * len(found), pa.string())
         return pa.table([district, *(pa.array([r[c] for r in found], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64())))], names=_LINK.names)
 
@@ -653,18 +739,20 @@ def spelling_links(spelled: DataFrame, lexicon: Lexicon, block: int = BLOCK) ->
     each pair of salts is a block of its own. How the spellings are cut decides which task compares a pair, never whether it is.
     """
     shared = spelled.sparkSession.sparkContext.broadcast(lexicon)
+    # Comparing takes longer than its bytes suggest: tasks are cut by names, so that the longest doesn't grow with the table.
+    tasks = min(max(spelled.sparkSession.sparkContext.defaultParallelism, lexicon.total // (4 * BLOCK)), 50_000)
     sizes = spelled.groupBy("district").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("district", "_d")
-    sized = spelled.join(sizes, F.col("district") == F.col("_d")).drop("_d")
     zero = lambda c: F.lit(0).alias(c)
+    at = ["district", "bucket", "i", "j"]
+    if (sizes.agg(F.max("n").alias("n")).first().n or 0) <= block:
+        return spelled.select("district", "key", *map(zero, at[1:]), zero("own")).repartition(tasks, "district").groupBy("district").applyInArrow(_block(shared), _LINK).distinct()
+    sized = spelled.join(sizes, F.col("district") == F.col("_d")).drop("_d")
     small = sized.where(F.col("n") <= block).select("district", "key", *map(zero, ("bucket", "own", "i", "j")))
     spread = sized.where(F.col("n") > block).mapInArrow(_spread(shared, block), T.StructType([_field("district", "s"), _field("key", "s"), _field("bucket", "i")]))
     filled = spread.groupBy(F.col("district").alias("_d"), F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
     salts = F.when(F.col("_m") > 2 * block, F.ceil(F.col("_m") / block)).otherwise(1).cast("int")
     salted = spread.join(filled, (F.col("district") == F.col("_d")) & (F.col("bucket") == F.col("_b"))).withColumn("salts", salts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
     large = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("district", "key", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    # Comparing takes longer than its bytes suggest: tasks are cut by names, so that the longest doesn't grow with the table.
-    tasks = min(max(spelled.sparkSession.sparkContext.defaultParallelism, lexicon.total // (4 * BLOCK)), 50_000)
-    at = ["district", "bucket", "i", "j"]
     return small.unionByName(large).repartition(tasks, *at).groupBy(*at).applyInArrow(_block(shared), _LINK).distinct()
 
 
@@ -737,7 +825,8 @@ def party_members(df: DataFrame, id: str, name: str, district: str, nicknames: d
     """district, id, party (a number) for every id that has a name; see link_parties."""
     rows = df.select(F.col(district).cast("string").alias("district"), F.upper(strip(F.col(id))).alias("id"), clean(F.col(name)).alias("name")).where("district is not null and id <> '' and name is not null").distinct()
     parsed = cut_lineage(rows.mapInArrow(_parsed, T.StructType([_field(c, "s") for c in ("district", "id", "key")])))
-    links = spelling_links(parsed.select("district", "key").distinct(), learn(parsed, nicknames), block)
+    spelled = cut_lineage(parsed.groupBy("district", "key").agg(F.count(F.lit(1)).alias("n")))
+    links = spelling_links(spelled.select("district", "key"), learn(spelled, nicknames), block)
     links = links.select("district", _node("a").alias("a"), _node("b").alias("b"), "similarity")
     known = parsed.select("district", "id", _node("key").alias("node"))
     # Spellings of one id belong together: each of an id's spellings is tied to its smallest, by a join that no id's rows gather for.

@@ -178,6 +178,23 @@ def test_refused_pairs_are_no_parties():
     assert refused.any() and not any(names.same_party(ns[a], ns[b], LEXICON) for a, b in zip(i[refused], j[refused], strict=True))
 
 
+def test_words_are_looked_up_at_once():
+    """N-grams, letters and first letters of many words equal those of each, whatever the script; so do the vectors of names."""
+    ns = [names.parse_name(x) for x in ("Иван Петров", "王小明", "राम K.", "Zoë Ålwood", "Li", "Oak Oak Grain", "Katherine E. Moss", "𐐀𐐁 Moss")]
+    table = names.TwoWords(ns, LEXICON)
+    every = list(dict.fromkeys(w for n in ns for w in n.words))
+    assert [tuple(table.words.grams[b : b + k].tolist()) for b, k in zip(table.words.begin, table.words.size, strict=True)] == [names.grams(w) for w in every]
+    assert table.words.letters.tolist() == [names._bits(w) for w in every] and table.words.first.tolist() == [ord(w[0]) for w in every]
+    flat, name = table.vectors()
+    assert [sorted(names.vector(n).tolist()) for n in ns] == [flat[name == k].tolist() for k in range(len(ns))]
+    # Also refused: a word that is met beside an initial of one name, words that begin alike, and legal forms that differ.
+    apart = [("Katherine M. Moss", "Katherine Fernside"), ("Katherine Fernside", "Katherine Falbreworth"), ("Fernside Grain Ltd", "Fernside Grain & Sons")]
+    near = [("Katherine M. Moss", "Katherine Mos"), ("Katherine Fernside", "Katherine Ferns"), ("Fernside Grain Ltd", "Fernside Grain"), ("K. M. Moss", "Katherine Moss")]
+    for pairs, want in ((apart, True), (near, False)):
+        table = names.TwoWords([names.parse_name(x, LEXICON) for pair in pairs for x in pair], LEXICON)
+        assert table.refused(np.arange(0, 2 * len(pairs), 2), np.arange(1, 2 * len(pairs), 2)).tolist() == [want] * len(pairs)
+
+
 def test_average_linkage():
     links = {(0, 1): 0.9, (1, 2): 0.9, (0, 2): 0.1, (3, 4): 0.8, (2, 3): 0.45}
     assert names.average_linkage(6, links, 0.4) == [0, 0, 0, 3, 3, 5]
